@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import token_counts
+from tidemark.llm import language_crf, quality_gam, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_language": language_crf.op7_language,
+    "op9_quality": quality_gam.op9_quality,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 
