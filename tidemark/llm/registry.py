@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import language_crf, quality_gam, token_counts
+from tidemark.llm import harmonic_packing, language_crf, quality_gam, simhash, token_counts, token_matrices
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_simhash": simhash.op4_simhash,
+    "op5_token_matrices": token_matrices.op5_token_matrices,
     "op7_language": language_crf.op7_language,
+    "op8_packing": harmonic_packing.op8_packing,
     "op9_quality": quality_gam.op9_quality,
     "op10_token_counts": token_counts.op10_token_counts,
 }

@@ -7,10 +7,12 @@ notebooks) gets a temporary folder of its own.
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +20,12 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder, without a trailing slash."""
+    """URI of the shared folder, without a trailing slash."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
-        return path.rstrip("/")
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        full = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+        return re.sub("^file:/+", "file:///", full).rstrip("/")
     master = spark.sparkContext.master
     if not (master == "local" or master.startswith("local[")):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
@@ -43,6 +47,27 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def store(uri: str) -> tuple[FileSystem, str]:
+    """The file system of a URI and the path in it, for binary files that Spark has no writer for."""
+    return FileSystem.from_uri(uri)
+
+
+def write_bytes(uri: str, data: bytes) -> None:
+    """Write a file that appears whole or not at all."""
+    fs, path = store(uri)
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(f"{path}.part") as f:
+        f.write(data)
+    fs.move(f"{path}.part", path)
+
+
+def read_bytes(uri: str, offset: int = 0, length: int | None = None) -> bytes:
+    """A file, or a range of it."""
+    fs, path = store(uri)
+    with fs.open_input_file(path) as f:
+        return f.read() if length is None else f.read_at(length, offset)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input folder, by a path that only Spark opens."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
