@@ -6,15 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import harmonic_packing, language_crf, quality_gam, simhash, token_counts, token_matrices
+from tidemark.llm import harmonic_packing, language_crf, quality_gam, simhash, token_counts, token_matrices, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": simhash.op4_simhash,
     "op5_token_matrices": token_matrices.op5_token_matrices,
+    "op6_warc": warc.op6_warc,
     "op7_language": language_crf.op7_language,
     "op8_packing": harmonic_packing.op8_packing,
     "op9_quality": quality_gam.op9_quality,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_warc": warc.OP6_SQL}
