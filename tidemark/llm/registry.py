@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import harmonic_packing, language_crf, quality_gam, simhash, token_counts, token_matrices, warc
+from tidemark.llm import decontamination, harmonic_packing, language_crf, quality_gam, simhash, token_counts, token_matrices, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": decontamination.op1_decontamination,
     "op4_simhash": simhash.op4_simhash,
     "op5_token_matrices": token_matrices.op5_token_matrices,
     "op6_warc": warc.op6_warc,
