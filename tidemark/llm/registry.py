@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontamination, harmonic_packing, language_crf, multi_index, quality_gam, simhash, token_counts, token_matrices, warc
+from tidemark.llm import decontamination, harmonic_packing, language_crf, license_scan, multi_index, quality_gam, simhash, token_counts, token_matrices, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_multi_index": multi_index.op2_multi_index,
+    "op3_license_scan": license_scan.op3_license_scan,
     "op4_simhash": simhash.op4_simhash,
     "op5_token_matrices": token_matrices.op5_token_matrices,
     "op6_warc": warc.op6_warc,
