@@ -11,12 +11,29 @@ import re
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+_SHIPPED: dict[str, str] = {}
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable on the executors, once per application, however the driver found it."""
+    app = spark.sparkContext.applicationId
+    if _SHIPPED.get("app") != app:
+        root = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp(prefix="tidemark-")) / f"{root.name}.zip"
+        atexit.register(shutil.rmtree, archive.parent, ignore_errors=True)
+        with zipfile.ZipFile(archive, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        spark.sparkContext.addPyFile(str(archive))
+        _SHIPPED["app"] = app
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +59,7 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends here and survives lost executors."""
+    ship(df.sparkSession)
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -70,6 +88,7 @@ def read_bytes(uri: str, offset: int = 0, length: int | None = None) -> bytes:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input folder, by a path that only Spark opens."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
