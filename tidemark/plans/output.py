@@ -13,8 +13,8 @@ def lines(result: DataFrame) -> DataFrame:
     if "phi" not in result.columns:
         return result.select(F.col("metric").alias("line"))
     # positional notation: a double's own text switches to an exponent below a thousandth
-    exponent = F.rtrim(F.lit("0"), F.format_string("%.20f", "phi"))
-    phi = F.when(F.col("phi") >= 0.001, F.col("phi").cast("string")).otherwise(exponent)
+    plain = F.rtrim(F.col("phi").cast("string").cast("decimal(38,36)").cast("string"), F.lit("0"))
+    phi = F.when(F.col("phi") >= 0.001, F.col("phi").cast("string")).otherwise(plain)
     fields = ["start=", "window_start", ", end=", "window_end", ", phi=", phi, ", count=", "count", ", approx=", "approx", ", lower=", "lower", ", upper=", "upper"]
     return result.select(F.concat(*[F.lit(f) if k % 2 == 0 else (f if not isinstance(f, str) else F.col(f).cast("string")) for k, f in enumerate(fields)]).alias("line"))
 
