@@ -81,7 +81,7 @@ def test_bounds_and_search(spark):
 def test_weighted_values_equal_expanded_ones(spark):
     weights = {2: 1, 4: 1, 6: 1, 7: 1, 1: 2, 3: 2, 5: 2}
     flat = sorted(v for v, w in weights.items() for _ in range(w))
-    rows = spark.createDataFrame([(0, 0, 1, v, w) for v, w in weights.items()], "wid long, window_start long, window_end long, value long, weight long")
+    rows = ExactTier.frame(spark.createDataFrame([(0, v, w) for v, w in weights.items()], "wid long, value long, weight long"))
     phis = [k / 100 for k in range(1, 100)]
     got = {r.phi: r.approx for r in ExactTier().quantiles(rows, phis).collect()}
     assert got == {p: flat[int(len(flat) * p)] for p in phis}

@@ -32,8 +32,8 @@ def rank_error(values: DataFrame, probes: DataFrame, keys: list[str]) -> DataFra
 def stat_summary(samples: DataFrame, key: str, value: Column) -> DataFrame:
     """Per key: sample_count, median, p95, min and max of the non-null samples; no row without samples."""
     rows = samples.select(F.col(key).alias("wid"), value.cast("long").alias("value")).where("value IS NOT NULL")
-    hist = rows.groupBy("wid", "value").agg(F.count("*").alias("weight")).withColumns({"window_start": F.col("wid"), "window_end": F.col("wid")})
-    found = ExactTier("point").quantiles(hist, [0.5, 0.95])
+    hist = rows.groupBy("wid", "value").agg(F.count("*").alias("weight"))
+    found = ExactTier("point").quantiles(ExactTier.frame(hist), [0.5, 0.95])
     out = found.groupBy(F.col("window_start").alias(key)).agg(F.max("count").alias("sample_count"), F.max(F.when(F.col("at") == 0, F.col("approx"))).alias("median"), F.max(F.when(F.col("at") == 1, F.col("approx"))).alias("p95"))
     ends = rows.groupBy(F.col("wid").alias(key)).agg(F.min("value").alias("min"), F.max("value").alias("max"))
     return out.join(ends, key)
@@ -99,7 +99,7 @@ def encoded_size(values: DataFrame, keys: list[str]) -> DataFrame:
 def partition_and_merge(tier, values: DataFrame, parts: int, seed: int = 0) -> DataFrame:
     """Frame with one window from values sketched in random slices and merged again; every value counts."""
     slices = values.select(F.format_string("slice.%d", F.floor(F.rand(seed) * parts)).alias("metric"), F.lit(0).cast("long").alias("ts"), "value")
-    return tier.merge(tier.open(tier.windowize(slices, 1)), F.lit(0))
+    return tier.merge_all(tier.open(tier.windowize(slices, 1)))
 
 
 def error_summary(tier, values: DataFrame, phis: list[float]) -> DataFrame:

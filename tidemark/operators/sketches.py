@@ -1,8 +1,9 @@
 """The two tiers of quantile summaries.
 
-A frame of sketches has a column ``wid`` that tells its windows apart, the bounds ``window_start`` and ``window_end``, and
-the payload of its tier. Exact: one row per window and distinct value with its weight, so windows of any size merge by a
-sum that combines on the map side. KLL: one row per window with a serialized sketch.
+A frame of sketches has a column ``wid`` that tells its windows apart, the bounds ``window_start`` and ``window_end`` of
+the window, and the payload of its tier. Exact: histograms, of which a window may have several rows, so windows merge by
+a change of ``wid`` and travel packed; values are counted only where ranks are asked for. KLL: one row per window with a
+serialized sketch.
 """
 
 from __future__ import annotations
@@ -52,22 +53,38 @@ class ExactTier:
 
     def open(self, windows: DataFrame) -> DataFrame:
         """Frame of a metric's stored windows."""
-        rows = windows.select("window_start", "window_end", F.inline("hist"))
-        one = rows.groupBy("window_start", "value").agg(F.max("window_end").alias("window_end"), F.sum("weight").alias("weight"))
-        return self._settle(one.withColumn("wid", F.col("window_start")))
+        return self._settle(windows.select(F.col("window_start").alias("wid"), "window_start", "window_end", "hist"))
+
+    @staticmethod
+    def frame(rows: DataFrame) -> DataFrame:
+        """Frame of (wid, value, weight) rows; the bounds are the window's name."""
+        hist = F.array(F.struct(F.col("value").cast("long").alias("value"), F.col("weight").cast("long").alias("weight")))
+        return rows.select("wid", F.col("wid").alias("window_start"), F.col("wid").alias("window_end"), hist.alias("hist"))
 
     def _settle(self, rows: DataFrame) -> DataFrame:
+        """Every row gets the bounds of its whole window. Ranks need the rows of a window together as well, so they find
+        this exchange already made."""
         own = Window.partitionBy("wid")
-        return rows.select("wid", F.min("window_start").over(own).alias("window_start"), F.max("window_end").over(own).alias("window_end"), "value", "weight")
+        return rows.select("wid", F.min("window_start").over(own).alias("window_start"), F.max("window_end").over(own).alias("window_end"), "hist")
+
+    def _counted(self, frame: DataFrame, *keys: str) -> DataFrame:
+        rows = frame.select("wid", "window_start", "window_end", F.inline("hist"))
+        return rows.groupBy(*keys).agg(F.min("window_start").alias("window_start"), F.max("window_end").alias("window_end"), F.sum("weight").alias("weight"))
 
     def merge(self, frame: DataFrame, key: Column) -> DataFrame:
         """Windows with equal keys become one that spans them."""
-        rows = frame.groupBy(key.alias("wid"), "value").agg(F.min("window_start").alias("window_start"), F.max("window_end").alias("window_end"), F.sum("weight").alias("weight"))
-        return self._settle(rows)
+        return self._settle(frame.withColumn("wid", key))
+
+    def merge_all(self, frame: DataFrame) -> DataFrame:
+        """All windows as one. Values are counted first, in every task for itself, so what meets in one place is a row per
+        distinct value."""
+        one = self._counted(frame, "value").select(F.lit(0).alias("wid"), "window_start", "window_end", F.array(F.struct("value", "weight")).alias("hist"))
+        return self._settle(one)
 
     def summary(self, frame: DataFrame) -> DataFrame:
         """Count, least and greatest value of every window."""
-        return frame.groupBy("wid").agg(
+        rows = frame.select("wid", "window_start", "window_end", F.inline("hist"))
+        return rows.groupBy("wid").agg(
             F.min("window_start").alias("window_start"), F.max("window_end").alias("window_end"), F.sum("weight").alias("n"), F.min("value").alias("vmin"), F.max("value").alias("vmax")
         ).drop("wid")
 
@@ -80,7 +97,7 @@ class ExactTier:
         own = Window.partitionBy("wid")
         upto = own.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         last = F.sum("weight").over(upto) - 1
-        ranked = frame.withColumn("last", last).withColumn("first", F.col("last") - F.col("weight") + 1).withColumn("n", F.sum("weight").over(own))
+        ranked = self._counted(frame, "wid", "value").withColumn("last", last).withColumn("first", F.col("last") - F.col("weight") + 1).withColumn("n", F.sum("weight").over(own))
         err = F.ceil(F.col("n").cast("float") * F.lit(EPSILON).cast("float")).cast("long")
         picks = []
         for k, phi in enumerate(phis):
@@ -140,6 +157,10 @@ class KllTier:
         """Windows with equal keys become one that spans them."""
         return self._added(frame, key.alias("wid")).where("n > 0").withColumnRenamed("first_start", "window_start")
 
+    def merge_all(self, frame: DataFrame) -> DataFrame:
+        """All windows as one."""
+        return self.merge(frame, F.lit(0))
+
     def summary(self, frame: DataFrame) -> DataFrame:
         """Count, least and greatest value of every window."""
         return frame.select("window_start", "window_end", "n", "vmin", "vmax")

@@ -15,7 +15,7 @@ _BUCKET = 86_400
 
 def coalesce(tier, frame: DataFrame) -> DataFrame:
     """All windows as one that spans them; none from none."""
-    return tier.merge(frame, F.lit(0))
+    return tier.merge_all(frame)
 
 
 def group(tier, frame: DataFrame, unit: str) -> DataFrame:

@@ -170,8 +170,8 @@ def rank_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors of the values a twentieth of the ranks below the median."""
     o = from_events(spark, sf_dir).select("metric", "value")
     tier = ExactTier("point")
-    hist = o.groupBy(F.col("metric").alias("wid"), "value").agg(F.count("*").alias("weight")).withColumns({"window_start": F.col("wid"), "window_end": F.col("wid")})
-    probes = tier.quantiles(hist, [0.45]).select(F.col("window_start").alias("metric"), F.lit(0.5).alias("phi"), "approx")
+    hist = o.groupBy(F.col("metric").alias("wid"), "value").agg(F.count("*").alias("weight"))
+    probes = tier.quantiles(tier.frame(hist), [0.45]).select(F.col("window_start").alias("metric"), F.lit(0.5).alias("phi"), "approx")
     return analysis.rank_error(o, probes, ["metric"])
 
 
@@ -216,8 +216,7 @@ def weighted_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantiles of weighted values: the quantity of a line weighs its price."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     w = rows.select(F.col("l_returnflag").alias("wid"), F.round(F.col("l_extendedprice")).cast("long").alias("value"), F.col("l_quantity").cast("long").alias("weight"))
-    w = w.groupBy("wid", "value").agg(F.sum("weight").alias("weight")).withColumns({"window_start": F.col("wid"), "window_end": F.col("wid")})
-    found = ExactTier().quantiles(w, PHIS)
+    found = ExactTier().quantiles(ExactTier.frame(w), PHIS)
     return found.select(F.col("window_start").alias("flag"), "phi", "count", "approx", "lower", "upper")
 
 
