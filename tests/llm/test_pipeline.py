@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 from tidemark.llm import quality_gam, shared
 
 
+@pytest.fixture(scope="module")
+def sf():
+    """Larger than the other tests' table, so that the models have enough labels to learn from."""
+    return "/root/testdata/sf0.01"
+
+
 @pytest.fixture(scope="module")
 def stages(spark, sf):
     """The documents before the first stage and after each."""
