@@ -100,6 +100,8 @@ def test_store(spark, tmp_path):
     store.insert(stored(spark, [("foo", 0, 90), ("1bad", 0, 30)], [3]))
     engine = Engine(store)
     assert [tuple(r)[:5] for r in engine.query('quantile(fetch("foo"), 0.5)').collect()] == [(0, 90, 0.5, 3, 2)]
+    scan = engine.plan('fetch("foo", 5, 50)').df._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(metric,foo)" in scan and "GreaterThanOrEqual(window_start,5)" in scan and "LessThan(window_start,50)" in scan
     store.insert(stored(spark, [("bar", 7, 9)], [5]), label="x")
     store.insert(stored(spark, [("bar", 7, 9)], [6]), label="x")
     assert [r.approx for r in engine.query('quantile(fetch("bar"), 0.5)').collect()] == [6]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -102,16 +103,13 @@ def _folder(spark: SparkSession, label: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None and not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    import uuid
-
     return f"{base or tempfile.mkdtemp(prefix='tidemark-')}/tidemark/{label}-{uuid.uuid4().hex}"
 
 
 def stream_windowize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of files into a store, read back."""
-    source = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(source).schema
-    e = spark.readStream.schema(schema).parquet(source if spark.read.parquet(source).inputFiles()[0].rstrip("/") != _file(source) else f"{sf_dir}/events*.parquet")
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    e = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")  # a pattern, since a stream takes no single file
     o = e.select(F.concat(F.lit("events."), "event_type").alias("metric"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts"), F.round(F.col("value") * 100).cast("long").alias("value"))
     tier = ExactTier()
     store = DiskStore(spark, tier, _folder(spark, "stream"))
@@ -119,10 +117,6 @@ def stream_windowize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tier.merge_stored(store.windows()).select("metric", "window_start", "window_end", "n", "vmin", "vmax")
 
 
-def _file(path: str) -> str:
-    return path if "://" in path else f"file://{path}"
-
-
 def _tens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ExactTier().windowize(from_events(spark, sf_dir), 10)
 
