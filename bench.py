@@ -17,7 +17,7 @@ from tidemark.sources.store import MemoryStore
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-RUNS = int(os.environ.get("BENCH_RUNS", "3"))
+RUNS = int(os.environ.get("BENCH_RUNS", "1"))
 NAMES = (
     "quantile_median", "group_hours", "coalesce_all", "combine_two", "combine_five", "windowize_10s", "downsample_tiers", "statsd_parse",
     "search_infix", "circuit_widening", "rank_error", "latency_match", "encoded_size", "weighted_quantile", "kll_merge",
