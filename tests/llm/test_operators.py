@@ -351,3 +351,18 @@ def test_decontamination(spark, sf, edges, docs):
     best = next(r for r in rows if r.doc_id == 10)
     assert (best.first_word, best.last_word) == (50, 58) and 0.8 < best.score < 1
     assert decontamination.contaminated(edges.where("false"), bench).count() == 0 and decontamination.contaminated(edges, bench.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("every", [3, 4, 5])
+def test_decontamination_of_evenly_edited_copies(spark, every):
+    """Every third, fourth or fifth word replaced, beside an intact copy and copies edited at other places."""
+    words = [f"w{k}" for k in range(40)]
+    edited = [[f"x{first}{k}" if k % every == first else w for k, w in enumerate(words)] for first in range(every)]
+    alone = [(10 + first, " ".join(["zz"] * 30 + copy + ["yy"] * 30)) for first, copy in enumerate(edited)]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    item = decontamination.word_hashes(" ".join(words))
+    for rows in [*([row] for row in alone), [*alone, (99, " ".join(words))]]:
+        expected = {i: s for i, t in rows if (s := slow_align(item, decontamination.word_hashes(t)) / 80) >= decontamination.THRESHOLD}
+        assert set(expected) == {i for i, _ in rows}
+        got = decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+        assert {r.doc_id: r.score for r in got} == pytest.approx(expected)

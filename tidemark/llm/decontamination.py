@@ -1,8 +1,8 @@
 """Benchmark decontamination (operator 1).
 
-Rare n-grams of every test item are its seeds: of each few neighbouring n-grams the one that the corpus holds least
-often. A seed in a document joins it to the item and gives the diagonal; Smith-Waterman alignment of the item with the
-passage around it then scores exact, edited and paraphrased copies alike.
+All n-grams of every test item are its seeds. A seed in a document joins it to the item and gives the diagonal. Passages
+whose words cannot reach the threshold, in whatever order, are set aside by a bound; Smith-Waterman alignment of the item
+with each other passage then scores exact, edited and paraphrased copies alike.
 """
 
 from __future__ import annotations
@@ -18,8 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import table
 
-GRAM = 3
-SPAN = 3
+GRAM = 2
 THRESHOLD = 0.4
 LEAST_WORDS = 5
 MATCH, MISMATCH, GAP = 2, -1, 1
@@ -28,6 +27,7 @@ MATCH, MISMATCH, GAP = 2, -1, 1
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _MIX = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _CHUNK = 2 << 20
+_HITS = 1 << 20
 
 
 class _Words(dict):
@@ -78,33 +78,40 @@ class GramSet:
 
 @dataclass
 class Seeds:
-    """A block of test items: their words, and seed places (item, position) grouped by n-gram."""
+    """A block of test items: their words, seed places (item, position) grouped by n-gram, and the words of all items."""
 
     items: list[np.ndarray]
     grams: GramSet
     start: np.ndarray
     item: np.ndarray
     pos: np.ndarray
+    words: GramSet
     short: dict[bytes, list[int]]
 
 
-def choose_seeds(items: list[np.ndarray], count: dict[int, int]) -> Seeds:
-    """Of each SPAN neighbouring n-grams of an item the rarest in the corpus; ties to the first."""
-    rows, short = [], {}
+def all_seeds(items: list[np.ndarray]) -> Seeds:
+    """Every n-gram of every item of LEAST_WORDS or more."""
+    short: dict[bytes, list[int]] = {}
     for i, words in enumerate(items):
-        if len(words) < LEAST_WORDS:
-            if len(words):
-                short.setdefault(words.tobytes(), []).append(i)
-            continue
-        g = grams(words).tolist()
-        c = [count.get(x, 0) for x in g]
-        picked = {min(range(a, min(a + SPAN, len(g))), key=lambda k: (c[k], k)) for a in range(max(1, len(g) - SPAN + 1))}
-        rows += [(g[k], i, k) for k in sorted(picked)]
-    h = np.array([r[0] for r in rows], np.uint64)
+        if 0 < len(words) < LEAST_WORDS:
+            short.setdefault(words.tobytes(), []).append(i)
+    long = [i for i, words in enumerate(items) if len(words) >= LEAST_WORDS]
+    none = np.zeros(0, np.uint64)
+    h = np.concatenate([none, *(grams(items[i]) for i in long)])
+    size = np.array([len(items[i]) - GRAM + 1 for i in long], np.int64)
+    item, pos = np.repeat(np.array(long, np.int64), size), np.arange(len(h)) - np.repeat(size.cumsum() - size, size)
     order = np.argsort(h, kind="stable")
     found = GramSet(h)
-    start = np.searchsorted(h[order], found.hashes) if len(h) else np.zeros(0, np.int64)
-    return Seeds(items, found, np.r_[start, len(h)], np.array([r[1] for r in rows], np.int64)[order], np.array([r[2] for r in rows], np.int64)[order], short)
+    start = np.searchsorted(h[order], found.hashes)
+    return Seeds(items, found, np.r_[start, len(h)], item[order], pos[order], GramSet(np.concatenate([none, *items])), short)
+
+
+def reachable(own: np.ndarray) -> np.ndarray:
+    """Upper bound of the alignment scores of passages (rows) by which of their words the item has: within the aligned
+    stretch such a word adds MATCH at most, and each other word costs a mismatch or a gap."""
+    total = np.where(own, MATCH, -min(GAP, -MISMATCH)).cumsum(1)
+    before = np.minimum.accumulate(np.concatenate([np.zeros((len(own), 1), np.int64), total[:, :-1]], 1), axis=1)
+    return (total - before).max(1)
 
 
 def align(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,18 +143,34 @@ def _scan(ids: list, docs: list[np.ndarray], seeds: Seeds, threshold: float) ->
     at, place = at[inside], place[inside]
     if not len(at):
         return out
+    length = np.array([len(x) for x in seeds.items], np.int64)
+    margin = np.maximum(8, length // 4)
+    known = np.full(len(flat), len(seeds.words.hashes), np.int64)
+    known_at, known_word = seeds.words.find(flat)
+    known[known_at] = known_word
+    best: dict[tuple[int, int], tuple] = {}
     per = seeds.start[place + 1] - seeds.start[place]
+    # pairs of a hit and an item in bounded slices; a passage that two slices meet is aligned twice
+    for own in np.split(np.arange(len(at)), np.flatnonzero(np.diff(per.cumsum() // _HITS)) + 1):
+        _best_passages(at[own], place[own], per[own], owner, base, sizes, flat, known, margin, seeds, threshold, best)
+    return out + [(ids[d], i, float(s), -x, y) for (d, i), (s, x, y) in best.items()]
+
+
+def _best_passages(at: np.ndarray, place: np.ndarray, per: np.ndarray, owner: np.ndarray, base: np.ndarray, sizes: np.ndarray, flat: np.ndarray, known: np.ndarray, margin: np.ndarray, seeds: Seeds, threshold: float, best: dict[tuple[int, int], tuple]) -> None:
+    """Align the passages around seed hits and keep the best of each (document, item) in ``best``."""
     k = np.repeat(seeds.start[place], per) + np.arange(per.sum()) - np.repeat(per.cumsum() - per, per)
     doc, item = np.repeat(owner[at], per), seeds.item[k]
     diagonal = np.repeat(at - base[owner[at]], per) - seeds.pos[k]
-    length = np.array([len(x) for x in seeds.items], np.int64)
-    margin = np.maximum(8, length // 4)
     cell = np.floor_divide(diagonal, margin[item])
-    windows = np.unique(np.column_stack([item, doc, cell]), axis=0)
-    best: dict[tuple[int, int], tuple] = {}
+    low, docs = cell.min(), len(sizes)
+    span = cell.max() - low + 1
+    key = np.unique((item * docs + doc) * span + cell - low)
+    windows = np.column_stack([key // span // docs, key // span % docs, key % span + low])
     for part in np.split(windows, np.flatnonzero(np.diff(windows[:, 0])) + 1):
         i = int(part[0, 0])
         w = seeds.items[i]
+        has = np.zeros(len(seeds.words.hashes) + 1, bool)
+        has[seeds.words.find(w)[1]] = True
         width = len(w) + 3 * int(margin[i])
         step = max(1, (1 << 20) // width)
         for a in range(0, len(part), step):
@@ -155,7 +178,12 @@ def _scan(ids: list, docs: list[np.ndarray], seeds: Seeds, threshold: float) ->
             first = rows[:, 2] * margin[i] - margin[i]
             col = first[:, None] + np.arange(width)
             ok = (col >= 0) & (col < sizes[rows[:, 1]][:, None])
-            text = np.where(ok, flat[np.clip(base[rows[:, 1]][:, None] + col, 0, len(flat) - 1)], np.uint64(0))
+            place = np.clip(base[rows[:, 1]][:, None] + col, 0, len(flat) - 1)
+            able = np.flatnonzero(reachable(has[known[place]] & ok) >= threshold * MATCH * len(w))
+            if not len(able):
+                continue
+            rows, first = rows[able], first[able]
+            text = np.where(ok[able], flat[place[able]], np.uint64(0))
             score, end = align(w, text)
             hit = np.flatnonzero(score >= threshold * MATCH * len(w))
             if not len(hit):
@@ -166,7 +194,6 @@ def _scan(ids: list, docs: list[np.ndarray], seeds: Seeds, threshold: float) ->
             for r, s, x, y in zip(hit, score[hit], begin, end[hit]):
                 key, value = (int(rows[r, 1]), i), (s / (MATCH * len(w)), -int(first[r] + x), int(first[r] + y))
                 best[key] = max(best.get(key, value), value)
-    return out + [(ids[d], i, float(s), -x, y) for (d, i), (s, x, y) in best.items()]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
@@ -185,25 +212,6 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.n
             start = stop
 
 
-def _counts(docs: DataFrame, items: list[np.ndarray]) -> dict[int, int]:
-    """How often the corpus holds each n-gram of the items: per task an array, added up by n-gram."""
-    wanted = GramSet(np.concatenate([np.zeros(0, np.uint64), *(grams(x) for x in items)]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(len(wanted.hashes), np.int64)
-        for _, words in _chunks(batches):
-            sizes = np.array([len(x) for x in words], np.int64)
-            flat, owner = np.concatenate(words), np.repeat(np.arange(len(words)), sizes)
-            at, place = wanted.find(grams(flat))
-            if len(at):
-                n += np.bincount(place[owner[at] == owner[at + GRAM - 1]], minlength=len(n))
-        some = np.flatnonzero(n)
-        yield pa.record_batch([pa.array(wanted.hashes[some].view(np.int64)), pa.array(n[some])], names=["gram", "n"])
-
-    rows = docs.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
-    return dict(zip(rows["gram"].to_numpy(np.int64).view(np.uint64).tolist(), rows["n"].tolist()))
-
-
 def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, block_bytes: int = 4 << 20) -> DataFrame:
     """(id, item_id, score, first_word, last_word): pairs of a document and a test item that it copies, wholly or edited.
 
@@ -222,7 +230,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
         words = [word_hashes(r["text"]) for r in rows]
         names = [r["item_id"] for r in rows]
-        seeds = choose_seeds(words, _counts(docs, words))
+        seeds = all_seeds(words)
 
         def run(batches: Iterator[pa.RecordBatch], seeds: Seeds = seeds, names: list = names) -> Iterator[pa.RecordBatch]:
             for ids, texts in _chunks(batches):
