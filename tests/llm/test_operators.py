@@ -276,6 +276,52 @@ def test_license_scan(spark, sf, edges, docs):
     assert len(license_rules.rules()) >= 200
 
 
+def samples(tree):
+    """Texts that a pattern matches: at least one for every alternative, optional part and listed character."""
+    out = {""}
+    for op, value in tree:
+        name = str(op)
+        if name == "LITERAL":
+            some = {chr(value)}
+        elif name == "IN":
+            some = {chr(x[0]) if isinstance(x, tuple) else chr(x) for kind, x in value}
+        elif name == "SUBPATTERN":
+            some = samples(value[3])
+        elif name == "BRANCH":
+            some = set().union(*map(samples, value[1]))
+        elif name == "MAX_REPEAT":
+            inner = samples(value[2])
+            some = {x * n for x in inner for n in {value[0], max(1, value[0])}}
+        else:
+            assert name in ("AT", "ASSERT_NOT"), name
+            continue
+        out = {a + b for a in out for b in some}
+    return out
+
+
+def test_license_rules_fire_whatever_the_wording(spark):
+    parse = re._parser.parse
+    texts = {(label, priority, x) for line in license_rules.RULES_TEXT.strip().split("\n") for label, priority, _, rx in [line.split(" ", 3)] for x in samples(parse(rx))}
+    rows = [(i, x, label, int(priority)) for i, (label, priority, x) in enumerate(sorted(texts))]
+    assert len(rows) > 900
+    found = license_scan.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()
+    spans = {r.doc_id: r.detections for r in found}
+    # ungated: all rules over each text; what no other match of the same or a higher priority contains must be reported
+    compiled = [(label, priority, re.compile(rx.replace("[-[", "[-").replace("]+]", "]"), re.A)) for label, priority, _, rx in license_rules.rules()]
+    for i, x, label, priority in rows:
+        every = {(m.start(), m.end(), p, lb) for lb, p, rx in compiled for m in rx.finditer(x)}
+        assert any(lb == label and p == priority for _, _, p, lb in every), (x, label)
+        best = max(p for _, _, p, _ in every)
+        assert best == max((d.priority for d in spans[i]), default=0), x
+        for a, b, p, _ in every:
+            assert any(d.start <= a and b <= d.end and d.priority >= p for d in spans[i]), (x, a, b, p)
+    texts = ["Licensed under GPLv3", "GPLv3", "MPL2.0", "FreeBSD license", "beer-ware license", "openrail", "open rail", "released under the GPL version 2", "noncommercial only"]
+    found = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    labels = {texts[r.doc_id]: {(d.label, d.priority) for d in r.detections} for r in found}
+    wanted = [("gpl-3.0", 2), ("gpl-3.0", 2), ("mpl-2.0", 2), ("bsd-2-clause", 3), ("beerware", 2), ("openrail", 2), ("openrail", 2), ("gpl-2.0", 4), ("noncommercial", 1)]
+    assert all(w in labels[x] for x, w in zip(texts, wanted)), labels
+
+
 def test_language(spark, sf, edges):
     rng = np.random.default_rng(0)
     sizes = np.array([1, 5, 32, 33, 100, 64, 700])

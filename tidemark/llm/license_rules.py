@@ -1,12 +1,14 @@
 """Signature rules of the license scan, one a line: label, priority, keyword, pattern.
 
-A rule is tried on texts that hold its keyword as a word. A blank in a pattern stands for any run of blanks, comment signs
-and quotes; patterns match lower-case text. Priority 4: wording of a notice or of the license itself; 3: its name with a
+A rule is tried on texts that hold its keyword anywhere, within words too; every match of its pattern holds the keyword. A
+blank in a pattern stands for any run of blanks, comment signs and quotes; patterns match lower-case text. Priority 4: wording of a notice or of the license itself; 3: its name with a
 version or in full; 2: an identifier or abbreviation; 1: a mention that names a family only.
 """
 
 from __future__ import annotations
 
+_BLANK = r"[\s*#/;\"']"
+
 RULES_TEXT = r"""
 mit 4 permission permission is hereby granted, free of charge, to any person obtaining a copy
 mit 4 sublicense to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
@@ -38,7 +40,7 @@ apache 1 apache \bapache(?: software)? licen[sc]e\b
 gpl-1.0 3 general \bgnu general public licen[sc]e,? (?:version |v)1\b
 gpl-1.0 2 gpl \bgpl-?v?1(?:\.0)?\b
 gpl-2.0 4 general general public licen[sc]e as published by the free software foundation[;,] (?:either )?version 2
-gpl-2.0 4 licensed (?:licensed|released|distributed) under (?:the )?(?:gnu )?(?:gpl|general public licen[sc]e),? version 2\b
+gpl-2.0 4 version (?:licensed|released|distributed) under (?:the )?(?:gnu )?(?:gpl|general public licen[sc]e),? version 2\b
 gpl-2.0 3 general \bgeneral public licen[sc]e,? (?:version |v)2(?:\.0)?\b
 gpl-2.0 2 gpl \bgpl-?v?2(?:\.0)?\b
 gpl-2.0 2 gpl \bgpl,? version 2\b
@@ -161,7 +163,7 @@ unlicense 3 unlicense \bthe unlicense\b
 unlicense 2 unlicense unlicense\.org
 wtfpl 4 fuck \bdo what the fuck you want to public licen[sc]e
 wtfpl 2 wtfpl \bwtfpl\b
-cc0-1.0 4 waived the person who associated a work with this deed has dedicated the work to the public domain
+cc0-1.0 4 deed the person who associated a work with this deed has dedicated the work to the public domain
 cc0-1.0 3 cc0 \bcc0(?: 1\.0)? universal
 cc0-1.0 2 cc0 \bcc0(?:[- ]1\.0)?\b
 cc0-1.0 2 publicdomain creativecommons\.org/publicdomain/zero
@@ -201,7 +203,7 @@ cc 1 creativecommons creativecommons\.org/licenses
 odbl-1.0 3 database \bopen database licen[sc]e
 odbl-1.0 2 odbl \bodbl(?:-1\.0)?\b
 odc-by-1.0 3 data \bopen data commons attribution
-pddl-1.0 3 data \bpublic domain dedication and licen[sc]e
+pddl-1.0 3 dedication \bpublic domain dedication and licen[sc]e
 cdla-permissive-2.0 2 cdla \bcdla-permissive-2\.0\b
 cdla-sharing-1.0 2 cdla \bcdla-sharing-1\.0\b
 ofl-1.1 4 sil licensed under the sil open font licen[sc]e
@@ -216,7 +218,7 @@ ncsa 3 ncsa \b(?:university of illinois/)?ncsa open source licen[sc]e
 llvm-exception 3 llvm \bllvm[- ]exceptions?\b
 openssl 3 openssl \bopenssl licen[sc]e
 openssl 4 openssl this product includes software developed by the openssl project
-ssleay 4 ssleay this product includes cryptographic software written by eric young
+ssleay 4 cryptographic this product includes cryptographic software written by eric young
 w3c 3 w3c \bw3c software (?:notice and )?(?:document )?licen[sc]e
 x11 3 x11 \bx11 licen[sc]e\b
 icu 3 icu \bicu licen[sc]e\b
@@ -224,7 +226,7 @@ unicode-dfs 3 unicode \bunicode,? inc\. licen[sc]e agreement
 curl 3 curl \bcurl licen[sc]e\b
 postgresql 3 postgresql \bpostgresql licen[sc]e\b
 sleepycat 3 sleepycat \bsleepycat licen[sc]e
-qpl-1.0 3 qt \bq public licen[sc]e
+qpl-1.0 3 public \bq public licen[sc]e
 ecl-2.0 3 educational \beducational community licen[sc]e
 upl-1.0 3 universal \buniversal permissive licen[sc]e
 blueoak-1.0.0 3 blue \bblue oak model licen[sc]e
@@ -232,11 +234,11 @@ cecill-2.1 2 cecill \bcecill(?:[- ]v?2\.1)?\b
 mulan-psl-2.0 3 mulan \bmulan (?:permissive software|psl)
 hippocratic 3 hippocratic \bhippocratic licen[sc]e
 anti-996 2 996 \banti-?996 licen[sc]e
-openrail 2 openrail \b(?:bigscience |creativeml )?open ?rail(?:-m|\+\+-m)?\b
+openrail 2 rail \b(?:bigscience |creativeml )?open ?rail(?:-m|\+\+-m)?\b
 rail 3 responsible \bresponsible ai licen[sc]e
 llama-community 3 llama \bllama [0-9.]* ?community licen[sc]e
 gemma-terms 3 gemma \bgemma terms of use
-beerware 2 beerware \bbeer-?ware licen[sc]e\b
+beerware 2 beer \bbeer-?ware licen[sc]e\b
 vim 3 vim \bvim licen[sc]e\b
 tcl 3 tcl \btcl/tk licen[sc]e\b
 nasa-1.3 3 nasa \bnasa open source agreement
@@ -260,4 +262,4 @@ licensed 1 license \bunder (?:the|this) license\b
 def rules() -> list[tuple[str, int, str, str]]:
     """(label, priority, keyword, regular expression) in order."""
     rows = [line.split(" ", 3) for line in RULES_TEXT.strip().split("\n")]
-    return [(label, int(priority), keyword, pattern.replace(" ", r"[\s*#/;\"']+")) for label, priority, keyword, pattern in rows]
+    return [(label, int(priority), keyword, pattern.replace(" ?", f"{_BLANK}*").replace(" ", f"{_BLANK}+")) for label, priority, keyword, pattern in rows]

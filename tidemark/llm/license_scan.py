@@ -1,7 +1,7 @@
 """License scan (operator 3): ordered signature rules, DataFrame functions only.
 
-Texts without any keyword are set aside. On the others each rule whose keyword occurs is tried; all its matches become
-intervals. Intervals are swept from left to right, and one that lies within another of the same
+Texts without any keyword are set aside. On the others each rule whose keyword occurs, be it within a word, is tried; all
+its matches become intervals. Intervals are swept from left to right, and one that lies within another of the same
 or a higher priority is suppressed. Everything happens within the row, so nothing is shuffled.
 """
 
@@ -42,13 +42,15 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     """
     source = F.coalesce(F.col(text_col), F.lit(""))
     docs = df.select(F.col(id_col).alias("id"), source.alias("text"))
-    # the full lower case has as many words as that of A-Z and all its keywords
-    docs = _once(docs, "rough", F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))
-    keywords = sorted({k for _, _, k, _ in rules()} | {w for phrase in BASE for w in phrase.split(" ")[-1:]})
-    present = F.array_intersect("rough", F.array(*[F.lit(k) for k in keywords]))
-    docs = _once(docs.withColumn("n_words", F.size("rough").cast("long")), "present", present)
-    docs = _once(docs.drop("rough"), "low", F.when(F.size("present") > 0, F.translate("text", _UPPER, _LOWER))).drop("text")
-    docs = _once(docs, "words", F.when(F.col("low").isNotNull(), F.regexp_extract_all("low", F.lit(_WORD), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    # the full lower case has as many words as that of A-Z and all its keywords; without further bytes they are the same
+    docs = _once(docs, "rough", F.lower("text"))
+    keywords = F.array(*[F.lit(k) for k in sorted({k for _, _, k, _ in rules()} | {"license"})])
+    docs = _once(docs, "present", F.filter(keywords, lambda k: F.contains(F.col("rough"), k)))
+    docs = docs.withColumn("n_words", F.size(F.regexp_extract_all("rough", F.lit(_WORD), F.lit(0))).cast("long"))
+    ascii_only = F.octet_length("text") == F.length("text")
+    docs = _once(docs, "low", F.when(F.size("present") > 0, F.when(ascii_only, F.col("rough")).otherwise(F.translate("text", _UPPER, _LOWER)))).drop("text", "rough")
+    named = F.array_contains("present", "license")
+    docs = _once(docs, "words", F.when(named, F.regexp_extract_all("low", F.lit(_WORD), F.lit(0))).otherwise(F.array().cast("array<string>")))
 
     def labelled(phrase: str, label: str) -> Column:
         return F.transform(_positions(F.col("words"), phrase), lambda i: F.struct(i.alias("start"), F.lit(label).alias("label")))
