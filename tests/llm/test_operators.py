@@ -351,6 +351,23 @@ def test_language(spark, sf, edges):
     assert language_crf.predict(["hello"], none) == (["und"], [0.0])
 
 
+def test_language_of_long_words_counts_all_letters():
+    rng = random.Random(5)
+    left, right = ([chr(c) for c in range(a, a + 26)] for a in (0x4E00, 0x5E00))
+
+    def text(letters, n):
+        return "".join(rng.choice(letters) for _ in range(n))
+
+    crf = language_crf.train_crf([[text(x, 40) for _ in range(60)] for x in (left, right)], ["a", "b"])
+    # by its first 40 letters each were the other language
+    texts = [text(left, 40) + text(right, 4000), text(right, 40) + text(left, 4000), text(left, 39) + "-1" + text(right, 4000)]
+    lang, score = language_crf.predict(texts, crf)
+    assert lang == ["b", "a", "b"] and min(score) > 0.9
+    words = ["a" * 40, "b" * 95, "-" * 50, "É" * 41, "c"]
+    assert language_crf.pieces(words) == ["a" * 40, "b" * 40, "b" * 40, "b" * 15, "é" * 40, "é", "c"]
+    assert language_crf.pieces(["x", "y"]) == ["x", "y"] and language_crf.pieces([]) == []
+
+
 def test_quality(spark, sf, edges):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     rows = quality_gam.op9_quality(spark, sf).collect()

@@ -1,7 +1,8 @@
 """Language identification (operator 7): a linear-chain conditional random field over the words of a text.
 
 Each word gets potentials from its affixes, character n-grams and lexicon membership; learned transitions tie neighbours,
-so code-switched text keeps a language per word. Forward-backward runs over the whole text. It is exact and vectorised:
+so code-switched text keeps a language per word. Long words, as those of unspaced scripts, are cut into pieces of at most
+PIECE letters, each a word of the chain, so all letters count. Forward-backward runs over the whole text. It is exact and vectorised:
 the chain is cut into segments whose transfer matrices are multiplied for all segments at once, short messages then run
 from segment to segment, and a last pass over all segments yields every word's marginals.
 """
@@ -21,6 +22,7 @@ from tidemark.llm.shared import held_out, table, trainable
 
 UNKNOWN = "und"
 SEGMENT = 32
+PIECE = 40
 _BATCH_WORDS = 100_000
 _CACHE: dict[str, tuple[dict[str, int], list[np.ndarray]]] = {}
 
@@ -31,6 +33,20 @@ def letters_of(token: str) -> str:
     return low if low.isalpha() else "".join(filter(str.isalpha, low))
 
 
+def pieces(tokens: list[str]) -> list[str]:
+    """The tokens, of those longer than PIECE the letters in consecutive pieces of at most PIECE."""
+    if max(map(len, tokens), default=0) <= PIECE:
+        return tokens
+    out: list[str] = []
+    for w in tokens:
+        if len(w) <= PIECE:
+            out.append(w)
+        else:
+            c = letters_of(w)
+            out += [c[a : a + PIECE] for a in range(0, len(c), PIECE)]
+    return out
+
+
 @dataclass
 class Crf:
     """labels: language names. lexicon: word to the label that owns it. weights: (hashed features, labels)."""
@@ -44,8 +60,8 @@ class Crf:
 
     def features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(feature ids, word numbers): lexicon entries, and hashed n-grams of the marked word, affixes of 1 to 3 among them."""
-        codes = np.frombuffer("".join(f"^{w[:40]}$" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        size = np.array([min(40, len(w)) + 2 for w in words], np.int64)
+        codes = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        size = np.array([len(w) + 2 for w in words], np.int64)
         word = np.repeat(np.arange(len(words)), size)
         ends = size.cumsum()
         room, span = len(self.labels), len(self.weights) - len(self.labels)
@@ -224,7 +240,7 @@ def predict(texts: list[str | None], crf: Crf, cache: int = 200_000) -> tuple[li
         return lang, score
     group: list[tuple[int, list[str]]] = []
     for i, text in enumerate(texts):
-        group.append((i, (text or "").split()))
+        group.append((i, pieces((text or "").split())))
         waiting += len(group[-1][1])
         if waiting < _BATCH_WORDS and i + 1 < len(texts):
             continue
@@ -266,7 +282,7 @@ def train(documents: DataFrame, per_language: int = 400) -> Crf:
         share = F.when(F.col("lang") == lang, int(space * min(1.0, per_language / n)) if n > per_language else space).otherwise(share)
     key = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(space))
     got = rows.where(key < share).select("text", "lang", key.alias("key"), "doc_id").orderBy("key", "doc_id").limit(2 * per_language * len(counts)).toPandas()
-    words = [[c for c in map(letters_of, (t or "").split()) if c] for t in got["text"]]
+    words = [[c for c in map(letters_of, pieces((t or "").split())) if c] for t in got["text"]]
     kept = [(w, x) for w, x in zip(words, got["lang"]) if w]
     return train_crf([w for w, _ in kept], [x for _, x in kept])
 
