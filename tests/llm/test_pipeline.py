@@ -65,6 +65,17 @@ def test_nulls_and_repeats(spark, sf):
         assert stage(spark, empty, sf).count() == 0
 
 
+def test_one_row_of_each_component_whatever_the_ids(spark, sf):
+    one, two, three = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(7, one, "x"), (7, two, "x"), (7, two, "y"), (8, one, "x"), (None, one, "x"), (None, three, "x"), (None, three, "x"), (9, two, "x"), (9, two, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for n in (1, 5):
+        kept = sorted(map(tuple, corpus_pipeline.near_duplicates(spark, docs.orderBy(F.rand(n)).repartition(n), sf).collect()), key=str)
+        assert len(kept) == 3 and {(i, t) for i, t, _ in kept} == {(7, one), (7, two), (None, three)}
+        assert n == 1 or kept == before
+        before = kept
+
+
 def test_run(spark, sf, stages):
     assert corpus_pipeline.run(spark, sf).count() == stages[5].count()
     assert quality_gam.FEATURES[0] == "log_bytes"
