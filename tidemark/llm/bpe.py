@@ -3,13 +3,16 @@
 A batch of pre-tokens is one flat array of symbols with the sequence number of each symbol beside it. Every round finds
 each sequence's lowest-rank adjacent pair and merges all of that pair's places in all sequences at once; a sequence
 without a mergeable pair leaves the batch. Merging all places of a pair together gives what one-by-one merging gives,
-since a pair that holds the new symbol always ranks after the pair that made it.
+since a pair that holds the new symbol always ranks after the pair that made it. Pre-tokens of thousands of bytes, as in
+unspaced scripts, go by the same order of ranks over a linked list, so a round costs what it merges.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
+from array import array
 
 import numpy as np
 import regex
@@ -23,6 +26,9 @@ PRINTABLE_BYTES = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 _TWO_SPACES = re.compile(r"\s\s")
 _NONE = np.int64(1) << 40
+#: Bytes from which a word is merged by places; characters up to which a chunk's count is kept.
+LONG_WORD = 2048
+KEPT = 32
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -85,6 +91,8 @@ class RankMerger:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         ids = np.array([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], np.int64).reshape(-1, 3)
         self.pairs = PairTable(ids[:, 0], ids[:, 1], ids[:, 2])
+        self.ids = ids
+        self._ranked: dict[tuple[int, int], int] = {}
         self.of_byte = np.array([vocab[c] for _, c in sorted(byte_alphabet().items())], np.int64)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.pattern = regex.compile(BYTE_LEVEL_PATTERN)
@@ -98,6 +106,55 @@ class RankMerger:
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words one after the other, number of ids of each word)."""
+        long = {i: self.merge_long(w) for i, w in enumerate(words) if len(w) > LONG_WORD}
+        if not long:
+            return self._merge_short(words)
+        ids, sizes = self._merge_short([b"" if i in long else w for i, w in enumerate(words)])
+        parts = np.split(ids, sizes.cumsum()[:-1])
+        for i, got in long.items():
+            parts[i], sizes[i] = got, len(got)
+        return np.concatenate(parts), sizes
+
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """Ids of one long word: the lowest rank's places all at once, found by buckets of places instead of over the word."""
+        if not self._ranked:
+            self._ranked.update({(a, b): r for r, (a, b, _) in reversed(list(enumerate(self.ids.tolist())))})
+        ranked, made = self._ranked, self.ids.tolist()
+        n = len(word)
+        of = self.of_byte.tolist()
+        symbol = array("i", [of[b] for b in word])
+        after, before = array("i", range(1, n + 1)), array("i", range(-1, n - 1))
+        places: dict[int, list[int]] = {}
+
+        def note(i: int, j: int) -> None:
+            rank = ranked.get((symbol[i], symbol[j]))
+            if rank is not None:
+                if rank not in places:
+                    places[rank] = []
+                    heapq.heappush(heap, rank)
+                places[rank].append(i)
+
+        heap: list[int] = []
+        for i in range(n - 1):
+            note(i, i + 1)
+        while heap:
+            rank = heapq.heappop(heap)
+            a, b, new = made[rank]
+            for i in sorted(places.pop(rank)):
+                j = after[i]
+                if symbol[i] != a or j >= n or symbol[j] != b:
+                    continue
+                symbol[i], symbol[j] = new, -1
+                after[i] = k = after[j]
+                if k < n:
+                    before[k] = i
+                    note(i, k)
+                if before[i] >= 0:
+                    note(before[i], i)
+        out = np.frombuffer(symbol, np.int32).astype(np.int64)
+        return out[out >= 0]
+
+    def _merge_short(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.array([len(w) for w in words], np.int64)
         ids = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
         seq = np.repeat(np.arange(len(words)), sizes)
@@ -140,7 +197,8 @@ class RankMerger:
 class TokenCounter:
     """Tokens of whole texts, as ``tokenizers`` counts them without added special tokens.
 
-    Chunks seen before are looked up; the two tables are emptied when they reach ``cache`` entries, so memory is bounded.
+    Chunks of up to KEPT characters that were seen before are looked up; the two tables are emptied when they reach
+    ``cache`` entries, so their bytes are bounded. Longer chunks, whole texts in unspaced scripts, are not kept.
     """
 
     def __init__(self, path: str, cache: int = 800_000, batch_bytes: int = 2 << 20) -> None:
@@ -179,4 +237,9 @@ class TokenCounter:
         self.head.update(zip(heads, counts))
         self.tail.update(zip(tails, counts[len(heads) :]))
         head, tail = self.head, self.tail.__getitem__
-        return [n + sum(head[p[0]] + sum(map(tail, p[1:])) for p in parts) for n, parts in group]
+        found = [n + sum(head[p[0]] + sum(map(tail, p[1:])) for p in parts) for n, parts in group]
+        for seen, new in ((self.head, heads), (self.tail, tails)):
+            for c in new:
+                if len(c) > KEPT:
+                    del seen[c]
+        return found

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import table
+from tidemark.llm.shared import ship, table
 from tidemark.llm.token_ids import encoded
 
 CAPACITY = 1024
@@ -91,6 +91,7 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
     table), so a task that runs again gives the same rows. No shuffle; a worker holds at most one unfinished sequence
     per class.
     """
+    ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(capacity, TaskContext.get().partitionId() << 33)

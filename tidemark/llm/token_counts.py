@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import TokenCounter
-from tidemark.llm.shared import table
+from tidemark.llm.shared import ship, table
 
 _COUNTERS: dict[str, object] = {}
 
@@ -49,6 +49,7 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     rank-synchronous merging; other files by their library. Null and empty texts have 0 bytes and 0 tokens; null ids and
     repeated rows stay as they are; further columns are ignored.
     """
+    ship(df.sparkSession)
 
     @F.arrow_udf("long")
     def n_tokens(texts: pa.Array) -> pa.Array:

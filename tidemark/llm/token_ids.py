@@ -1,8 +1,8 @@
 """Token ids of whole texts as the ``tokenizers`` library gives them.
 
 ``tiktoken`` encodes with the ranks of the same vocabulary file, several times as fast. Stretches of rarer scripts, whose
-character classes may differ between the libraries' Unicode versions, go to ``tokenizers`` itself, as do vocabularies of
-another kind.
+character classes may differ between the libraries' Unicode versions, go to ``tokenizers`` itself, as do long runs of
+white space, on which the other's pattern runs out of stack, and vocabularies of another kind.
 """
 
 from __future__ import annotations
@@ -19,6 +19,9 @@ from tidemark.llm.bpe import BYTE_LEVEL_PATTERN, byte_alphabet, cut
 
 #: Scripts beyond the Latin ones.
 _ODD = re.compile("[\u0250-\U0010ffff]")
+#: Runs of white space of this length go to ``tokenizers``; shorter texts than _SHORT have none that could do harm.
+_BLANKS = re.compile(r"\s{1000}")
+_SHORT = 50_000
 
 _CODERS: dict[tuple[str, int | None], TokenIds] = {}
 
@@ -59,14 +62,18 @@ class TokenIds:
     def _one(self, text: str) -> bytes:
         if self.ranks is None:
             return self._library(text)
-        if text.isascii() or not _ODD.search(text):
+        if (text.isascii() or not _ODD.search(text)) and (len(text) < _SHORT or not _BLANKS.search(text)):
             return self._common(text)
         # joined again, chunks that are alike encode as they do apart
         chunks = cut(text)
         chunks[1:] = [f" {c}" for c in chunks[1:]]
-        runs = groupby(chunks, key=lambda c: _ODD.search(c) is not None)
+        runs = groupby(chunks, key=lambda c: _ODD.search(c) is not None or _BLANKS.search(c) is not None)
         return b"".join((self._library if odd else self._common)("".join(run)) for odd, run in runs)
 
+    def wide(self) -> bool:
+        """Whether some id of the vocabulary takes more than 16 bits."""
+        return self.coder.get_vocab_size(with_added_tokens=True) > 1 << 16
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         return [self._one(t) + self.end for t in texts]

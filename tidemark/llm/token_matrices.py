@@ -18,8 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import new_path, read_bytes, table, write_bytes
-from tidemark.llm.token_ids import encoded
+from tidemark.llm.shared import new_path, read_bytes, ship, table, write_bytes
+from tidemark.llm.token_ids import coder, encoded
 
 LENGTH = 2048
 END = 50256
@@ -72,9 +72,9 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[tuple[int, int]
     return place
 
 
-def _shard(segments: list[np.ndarray], place: list[tuple[int, int]], length: int, end: int) -> bytes:
+def _shard(segments: list[np.ndarray], place: list[tuple[int, int]], length: int, end: int, kind: type) -> bytes:
     rows = 1 + max(r for r, _ in place)
-    ids = np.full((rows, length), end, np.uint16 if end < 1 << 16 and all(s.max() < 1 << 16 for s in segments) else np.uint32)
+    ids = np.full((rows, length), end, kind)
     positions = np.zeros((rows, length), np.uint16 if length <= 1 << 16 else np.uint32)
     ramp, ends = np.arange(length, dtype=positions.dtype), [[0] for _ in range(rows)]
     for (row, at), seg in sorted(zip(place, segments), key=lambda x: x[0]):
@@ -99,12 +99,16 @@ def write_matrices(df: DataFrame, path: str, folder: str, id_col: str = "doc_id"
 
     A task packs windows of about ``window`` tokens, which bounds its memory; a shard is written under a name no other
     attempt uses and only finished tasks' rows name it, so retries leave no trace in the index. Null and empty texts are
-    the end id alone. Null ids and repeated rows are written like any row; further columns are ignored.
+    the end id alone. Null ids and repeated rows are written like any row; further columns are ignored. ``ids`` has 16 bits
+    if all ids of the vocabulary and ``end`` fit, in every shard alike, else 32.
     """
     import zlib
 
+    ship(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, shards = TaskContext.get(), 0
+        kind = np.uint32 if end >= 1 << 16 or coder(path, end).wide() else np.uint16
         held: list[tuple] = []
         size = 0
 
@@ -113,7 +117,7 @@ def write_matrices(df: DataFrame, path: str, folder: str, id_col: str = "doc_id"
             segments = [np.frombuffer(x[3], "<u4") for x in held]
             place = best_fit_decreasing([len(s) for s in segments], length)
             name = f"part-{task.partitionId():06d}-{shards:05d}-{task.taskAttemptId()}.npz"
-            write_bytes(f"{folder}/{name}", _shard(segments, place, length, end))
+            write_bytes(f"{folder}/{name}", _shard(segments, place, length, end, kind))
             cols = [[x[0] for x in held], [x[1] for x in held], [x[2] for x in held], [zlib.crc32(x[3]) for x in held], [x[4] for x in held], [name] * len(held), [p[0] for p in place], [p[1] for p in place]]
             shards += 1
             held.clear()
@@ -142,7 +146,7 @@ def read_shard(uri: str) -> dict[str, np.ndarray]:
 
 
 def op5_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Index of the id matrices of all documents."""
+    """Index of the id matrices of all documents: rows of 2048 ids, <|endoftext|> after each document and as padding."""
     import public_tokenizers
 
     return write_matrices(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), new_path(spark, "matrices"))
