@@ -2,7 +2,7 @@
 
 Texts without any keyword are set aside. On the others each rule whose keyword occurs, be it within a word, is tried; all
 its matches become intervals. Intervals are swept from left to right, and one that lies within another of the same
-or a higher priority is suppressed. Everything happens within the row, so nothing is shuffled.
+or a higher priority is suppressed, of equal ones all but one. Everything happens within the row, so nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ BASE = {"mit license": "mit", "apache license": "apache", "general public licens
 CONFIDENCE = {4: 1.0, 3: 0.9, 2: 0.75, 1: 0.5}
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_PRIORITIES = (1, 2, 3, 4)
 _DETECTION = "array<struct<start:int,end:int,priority:int,label:string>>"
 
 
@@ -26,6 +27,27 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+def _running(items: Column, zero: Column, step, join, emit) -> Column:
+    """``emit(state before the item, item)`` of every item of an array, the state folded by ``step`` and joined by ``join``.
+
+    An array that grows item by item is copied each time, which costs the square of its length. So the items are cut into
+    blocks of about the root of their number: the blocks' states are folded first, then each block from where it begins.
+    """
+    size = F.greatest(F.ceil(F.sqrt(F.size(items))).cast("int"), F.lit(1))
+    blocks = F.transform(F.sequence(F.lit(0), ((F.size(items) - 1) / size).cast("int")), lambda b: F.slice(items, b * size + 1, size))
+
+    def within(begin: Column, block: Column) -> Column:
+        none = F.struct(begin.alias("state"), F.filter(F.array(emit(zero, F.get(items, 0))), lambda x: F.lit(False)).alias("out"))
+        return F.aggregate(block, none, lambda acc, d: F.struct(step(acc["state"], d).alias("state"), F.concat(acc["out"], F.array(emit(acc["state"], d))).alias("out")), lambda acc: acc["out"])
+
+    def next_block(acc: Column, block: Column) -> Column:
+        return F.struct(join(acc["state"], F.aggregate(block, zero, step)).alias("state"), F.concat(acc["begun"], F.array(F.struct(acc["state"].alias("begin"), block.alias("block")))).alias("begun"))
+
+    first = F.filter(F.array(F.struct(zero.alias("begin"), items.alias("block"))), lambda x: F.lit(False))
+    begun = F.aggregate(blocks, F.struct(zero.alias("state"), first.alias("begun")), next_block, lambda acc: acc["begun"])
+    return F.when(F.size(items) > 0, F.flatten(F.transform(begun, lambda b: within(b["begin"], b["block"]))))
+
+
 def _positions(words: Column, phrase: str) -> Column:
     """Starts of the phrase in the array of words."""
     parts = phrase.split(" ")
@@ -62,31 +84,38 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     parts = F.transform("hit", lambda r: F.struct(r["label"].alias("label"), r["priority"].alias("priority"), F.regexp_extract_all(F.col("low"), r["pattern"], F.lit(0)).alias("found"), F.split(F.col("low"), r["pattern"], -1).alias("between")))
     docs = _once(docs, "parts", parts)
 
-    def places(p: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(F.get(p["between"], i))
-            end = start + F.length(F.get(p["found"], i))
-            one = F.struct(start.alias("start"), end.alias("end"), p["priority"].alias("priority"), p["label"].alias("label"))
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def gaps(p: Column) -> Column:
+        """Per match: how far it lies behind the one before, and its length."""
+        return F.transform(F.sequence(F.lit(0), F.size(p["found"]) - 1), lambda i: F.struct(F.length(F.get(p["between"], i)).alias("gap"), F.length(F.get(p["found"], i)).alias("size"), p["priority"].alias("priority"), p["label"].alias("label")))
+
+    docs = _once(docs, "gaps", F.transform("parts", gaps))
+
+    def places(one: Column) -> Column:
+        def emit(before: Column, d: Column) -> Column:
+            start = before["at"] + d["gap"]
+            # by start, then the longer, then the higher priority
+            return F.struct(start.alias("start"), (-start - d["size"]).alias("far"), (-d["priority"]).alias("rank"), d["label"].alias("label"))
 
-        none = F.struct(F.lit(0).alias("at"), F.array().cast(_DETECTION).alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(p["found"]) - 1), none, step, lambda acc: acc["out"])
+        at = lambda acc, d: F.struct((acc["at"] + d["gap"] + d["size"]).alias("at"))
+        return _running(one, F.struct(F.lit(0).alias("at")), at, lambda acc, block: F.struct((acc["at"] + block["at"]).alias("at")), emit)
 
-    spans = F.flatten(F.transform("parts", places))
-    # by start, then the longer, then the higher priority
-    order = F.transform(spans, lambda d: F.struct(d["start"].alias("start"), (-d["end"]).alias("far"), (-d["priority"]).alias("rank"), d["label"].alias("label")))
-    docs = _once(docs, "spans", F.array_sort(F.array_distinct(order)))
+    docs = _once(docs, "spans", F.array_sort(F.flatten(F.transform("gaps", places))))
 
-    def sweep(acc: Column, d: Column) -> Column:
+    def reach(acc: Column, d: Column) -> Column:
         """to1 to to4: how far detections of at least that priority have reached."""
-        end, priority = -d["far"], -d["rank"]
-        reach = F.when(priority == 4, acc["to4"]).when(priority == 3, acc["to3"]).when(priority == 2, acc["to2"]).otherwise(acc["to1"])
-        one = F.struct(d["start"].alias("start"), end.alias("end"), priority.alias("priority"), d["label"].alias("label"))
-        to = [F.when(priority >= p, F.greatest(acc[f"to{p}"], end)).otherwise(acc[f"to{p}"]).alias(f"to{p}") for p in (1, 2, 3, 4)]
-        return F.struct(*to, F.when(reach >= end, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(one))).alias("kept"))
-
-    none = F.struct(*[F.lit(0).alias(f"to{p}") for p in (1, 2, 3, 4)], F.array().cast(_DETECTION).alias("kept"))
-    kept = F.coalesce(F.aggregate("spans", none, sweep, lambda acc: acc["kept"]), F.array().cast(_DETECTION))
+        return F.struct(*[F.when(-d["rank"] >= p, F.greatest(acc[f"to{p}"], -d["far"])).otherwise(acc[f"to{p}"]).alias(f"to{p}") for p in _PRIORITIES])
+
+    def join(acc: Column, block: Column) -> Column:
+        return F.struct(*[F.greatest(acc[f"to{p}"], block[f"to{p}"]).alias(f"to{p}") for p in _PRIORITIES])
+
+    def judge(before: Column, d: Column) -> Column:
+        priority = -d["rank"]
+        to = F.when(priority == 4, before["to4"]).when(priority == 3, before["to3"]).when(priority == 2, before["to2"]).otherwise(before["to1"])
+        return F.struct(d["start"].alias("start"), (-d["far"]).alias("end"), priority.alias("priority"), d["label"].alias("label"), (to < -d["far"]).alias("kept"))
+
+    judged = _running(F.col("spans"), F.struct(*[F.lit(0).alias(f"to{p}") for p in _PRIORITIES]), reach, join, judge)
+    kept = F.transform(F.filter(judged, lambda d: d["kept"]), lambda d: d.dropFields("kept"))
+    kept = F.coalesce(kept.cast(_DETECTION), F.array().cast(_DETECTION))
     return _once(docs, "detections", kept).select(F.col("id").alias(id_col), "n_words", "base", "detections")
 
 
