@@ -2,11 +2,13 @@
 
 All n-grams of every test item are its seeds. A seed in a document joins it to the item and gives the diagonal. Passages
 whose words cannot reach the threshold, in whatever order, are set aside by a bound; Smith-Waterman alignment of the item
-with each other passage then scores exact, edited and paraphrased copies alike.
+with each other passage then scores exact, edited and paraphrased copies alike. Items too short to align are found as exact
+phrases.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import table
+from tidemark.llm.shared import ship, table
 
 GRAM = 2
 THRESHOLD = 0.4
@@ -25,16 +27,20 @@ MATCH, MISMATCH, GAP = 2, -1, 1
 
 #: ASCII letters and digits are kept (lower case), other ASCII separates words, all else belongs to words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-_MIX = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+_MIX = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63)]
+#: Scripts written without spaces (Thai, Lao, Burmese, Khmer, kana, Han): each of their characters is a word.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _CHUNK = 2 << 20
 _HITS = 1 << 20
 
 
 class _Words(dict):
-    """Hash of each word, computed once."""
+    """Hash of each word, computed once for those of up to 64 bytes."""
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= 64:
+            self[word] = h
         return h
 
 
@@ -43,15 +49,18 @@ _WORDS = _Words()
 
 def word_hashes(text: str | None) -> np.ndarray:
     """Hashes of a text's words."""
-    words = (text or "").encode().translate(_FOLD).split()
+    text = text or ""
+    if not text.isascii():
+        text = _UNSPACED.sub(r" \g<0> ", text)
+    words = text.encode().translate(_FOLD).split()
     return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
 
 
-def grams(words: np.ndarray) -> np.ndarray:
+def grams(words: np.ndarray, size: int = GRAM) -> np.ndarray:
     """Hash of the n-gram that starts at each word."""
-    n = len(words) - GRAM + 1
+    n = len(words) - size + 1
     h = np.zeros(max(0, n), np.uint64)
-    for k in range(GRAM if n > 0 else 0):
+    for k in range(size if n > 0 else 0):
         h = (h ^ words[k : k + n]) * _MIX[k]
         h ^= h >> np.uint64(31)
     return h
@@ -86,15 +95,20 @@ class Seeds:
     item: np.ndarray
     pos: np.ndarray
     words: GramSet
-    short: dict[bytes, list[int]]
+    short: dict[int, tuple[GramSet, list[list[int]]]]
 
 
 def all_seeds(items: list[np.ndarray]) -> Seeds:
-    """Every n-gram of every item of LEAST_WORDS or more."""
-    short: dict[bytes, list[int]] = {}
-    for i, words in enumerate(items):
-        if 0 < len(words) < LEAST_WORDS:
-            short.setdefault(words.tobytes(), []).append(i)
+    """Every n-gram of every item of LEAST_WORDS or more, and the shorter ones whole."""
+    short: dict[int, tuple[GramSet, list[list[int]]]] = {}
+    for n in range(1, LEAST_WORDS):
+        own = [i for i, words in enumerate(items) if len(words) == n]
+        if own:
+            phrase = GramSet(np.concatenate([grams(items[i], n) for i in own]))
+            who: list[list[int]] = [[] for _ in phrase.hashes]
+            for i in own:
+                who[phrase.find(grams(items[i], n))[1][0]].append(i)
+            short[n] = phrase, who
     long = [i for i, words in enumerate(items) if len(words) >= LEAST_WORDS]
     none = np.zeros(0, np.uint64)
     h = np.concatenate([none, *(grams(items[i]) for i in long)])
@@ -130,14 +144,19 @@ def align(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _scan(ids: list, docs: list[np.ndarray], seeds: Seeds, threshold: float) -> list[tuple]:
-    """(doc id, item, score, first word, last word) of the documents of one chunk, best passage of each pair."""
+    """(doc id, item, score, first word, last word, words) of the documents of one chunk, best passage of each pair."""
     out: list[tuple] = []
-    for d, words in enumerate(docs):
-        for i in seeds.short.get(words.tobytes(), []) if 0 < len(words) < LEAST_WORDS else []:
-            out.append((ids[d], i, 1.0, 0, len(words) - 1))
     sizes = np.array([len(x) for x in docs], np.int64)
     flat, base = np.concatenate([*docs, np.zeros(0, np.uint64)]), sizes.cumsum() - sizes
     owner = np.repeat(np.arange(len(docs)), sizes)
+    for n, (phrase, who) in seeds.short.items():
+        at, place = phrase.find(grams(flat, n))
+        inside = owner[at] == owner[at + n - 1]
+        # the first place of each phrase in each document
+        pair, first = np.unique(owner[at[inside]] * len(who) + place[inside], return_index=True)
+        for p, x in zip(pair.tolist(), at[inside][first].tolist()):
+            d = p // len(who)
+            out += [(ids[d], i, 1.0, x - int(base[d]), x - int(base[d]) + n - 1, int(sizes[d])) for i in who[p % len(who)]]
     at, place = seeds.grams.find(grams(flat))
     inside = owner[at] == owner[np.minimum(at + GRAM - 1, len(owner) - 1)] if len(at) else at > 0
     at, place = at[inside], place[inside]
@@ -153,7 +172,7 @@ def _scan(ids: list, docs: list[np.ndarray], seeds: Seeds, threshold: float) ->
     # pairs of a hit and an item in bounded slices; a passage that two slices meet is aligned twice
     for own in np.split(np.arange(len(at)), np.flatnonzero(np.diff(per.cumsum() // _HITS)) + 1):
         _best_passages(at[own], place[own], per[own], owner, base, sizes, flat, known, margin, seeds, threshold, best)
-    return out + [(ids[d], i, float(s), -x, y) for (d, i), (s, x, y) in best.items()]
+    return out + [(ids[d], i, float(s), -x, y, int(sizes[d])) for (d, i), (s, x, y) in best.items()]
 
 
 def _best_passages(at: np.ndarray, place: np.ndarray, per: np.ndarray, owner: np.ndarray, base: np.ndarray, sizes: np.ndarray, flat: np.ndarray, known: np.ndarray, margin: np.ndarray, seeds: Seeds, threshold: float, best: dict[tuple[int, int], tuple]) -> None:
@@ -212,38 +231,46 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.n
             start = stop
 
 
-def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, block_bytes: int = 4 << 20) -> DataFrame:
-    """(id, item_id, score, first_word, last_word): pairs of a document and a test item that it copies, wholly or edited.
+def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, block_bytes: int = 16 << 20) -> DataFrame:
+    """(id, item_id, score, first_word, last_word, item_words, doc_words): pairs of a document and a test item that it copies, wholly
+    or edited.
 
     ``score`` is the alignment score over that of a perfect copy, ``threshold`` or more; the word positions are those of
-    the best passage. Items go to the workers in blocks of about ``block_bytes`` of text, one pass over the documents
-    for each, so what is sent is bounded; no document is shuffled. Items of fewer than five words are met by chance, so they
-    count only against a document that consists of the same words. Items or documents that are null or without words
-    pair with nothing; repeated rows give repeated results; further columns are ignored.
+    the best passage. Items of fewer than five words are too short to align: they count where their words stand together,
+    with score 1, at the first such place; ``item_words``, the item's length, tells them. Characters of unspaced scripts are words. Items go to
+    the workers in blocks of about ``block_bytes`` of distinct text, one pass over the documents for each, so what is sent
+    is bounded; no document is shuffled. Equal items are aligned once. Items or documents that are null or without words
+    pair with nothing; repeated rows, and ties, give a result each; further columns are ignored.
     """
+    ship(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text", F.xxhash64("text").alias("key"))
+    texts = items.groupBy("text", "key").agg(F.lit(1))
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     result = None
     for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
+        rows = texts.where(F.pmod("key", F.lit(blocks)) == b).orderBy("key", "text").collect()
         words = [word_hashes(r["text"]) for r in rows]
-        names = [r["item_id"] for r in rows]
+        keys = np.array([r["key"] for r in rows], np.int64)
         seeds = all_seeds(words)
 
-        def run(batches: Iterator[pa.RecordBatch], seeds: Seeds = seeds, names: list = names) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], seeds: Seeds = seeds, keys: np.ndarray = keys) -> Iterator[pa.RecordBatch]:
+            length = np.array([len(x) for x in seeds.items], np.int64)
             for ids, texts in _chunks(batches):
                 found = _scan(ids, texts, seeds, threshold)
                 if found:
-                    doc, item, score, first, last = zip(*found)
-                    yield pa.record_batch([pa.array(doc, pa.int64()), pa.array([names[i] for i in item], pa.int64()), pa.array(score, pa.float64()), pa.array(first, pa.int64()), pa.array(last, pa.int64())], names=[id_col, "item_id", "score", "first_word", "last_word"])
+                    doc, item, score, first, last, size = zip(*found)
+                    own = np.array(item)
+                    cols = [pa.array(doc, pa.int64()), pa.array(keys[own]), pa.array(score, pa.float64()), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(length[own]), pa.array(size, pa.int64())]
+                    yield pa.record_batch(cols, names=["id", "key", "score", "first_word", "last_word", "item_words", "doc_words"])
 
-        part = docs.mapInArrow(run, f"{id_col} long, item_id long, score double, first_word long, last_word long")
+        part = docs.mapInArrow(run, "id long, key long, score double, first_word long, last_word long, item_words long, doc_words long")
         result = part if result is None else result.unionByName(part)
-    return result
+    names = items.select("item_id", F.col("key").alias("own"))
+    return result.join(names, F.col("key") == F.col("own")).select(F.col("id").alias(id_col), "item_id", "score", "first_word", "last_word", "item_words", "doc_words")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold test items of the benchmark."""
+    """Pairs of a document and a test item of the benchmark that it holds, with the best passage: see ``contaminated``."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
