@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import materialize
+from tidemark.llm.shared import materialize, release, settle
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -38,4 +38,5 @@ def components(edges: DataFrame) -> DataFrame:
         if seen == mark or not seen["n"]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark = seen
-        edges = materialize(_star(materialize(_star(edges, True), "large"), False), "small")
+        before, edges = edges, settle(lambda known=edges: _star(materialize(_star(known, True), "large"), False), "small")
+        release(before)

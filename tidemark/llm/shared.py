@@ -1,7 +1,8 @@
 """Tables and folders that every executor can see.
 
 ``spark.checkpoint.dir`` names the shared folder of the cluster. Only a single-JVM session that leaves it unset (tests,
-notebooks) gets a temporary folder of its own.
+notebooks) gets a temporary folder of its own. Intermediate tables are deleted when what was made of them is written
+(``settle``, ``release``), the rest when the application ends.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
 from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +23,8 @@ from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 _SHIPPED: dict[str, str] = {}
+_TABLES: dict[str, object] = {}
+_PATH_OF: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def ship(spark: SparkSession) -> None:
@@ -59,10 +64,46 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends here and survives lost executors."""
-    ship(df.sparkSession)
-    path = new_path(df.sparkSession, label)
+    spark = df.sparkSession
+    ship(spark)
+    path = new_path(spark, label)
+    if not _TABLES:
+        atexit.register(_delete_all)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    _TABLES[path] = (at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()))
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATH_OF[out] = path
+    return out
+
+
+def _delete(path: str) -> None:
+    at, fs = _TABLES.pop(path)
+    fs.delete(at, True)
+
+
+def _delete_all() -> None:
+    try:
+        for path in list(_TABLES):
+            _delete(path)
+    except Exception:  # the JVM may be gone by now, and its file systems with it
+        _TABLES.clear()
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing will read any more; other frames stay as they are."""
+    for df in tables:
+        if (path := _PATH_OF.pop(df, None)) in _TABLES:
+            _delete(path)
+
+
+def settle(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """``materialize`` what ``make`` gives, then delete the tables that it made on the way."""
+    before = set(_TABLES)
+    out = materialize(make(), label)
+    for path in set(_TABLES) - before - {_PATH_OF[out]}:
+        _delete(path)
+    return out
 
 
 def store(uri: str) -> tuple[FileSystem, str]:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import materialize, table
+from tidemark.llm.shared import materialize, settle, table
 
 RADIUS = 3
 _HALF = np.uint64(0xFFFFFFFF)
@@ -188,19 +188,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per row of ``df``: the id, ``fingerprint`` (16 hex digits) and ``component_id``.
 
     Links join fingerprints within three bits; the component is named by the smallest id reachable. Null and empty texts
-    have fingerprint zero and link like any other. A row with a null id gets its fingerprint's component but names none
-    (null if all ids of the fingerprint are null). Repeated rows stay; an id on several texts ties their components.
+    have fingerprint zero and link like any other. A row with a null id links like any other but names no component (null
+    if all its ids are null). Repeated rows stay; an id that stands on several texts doesn't tie them.
     Exact copies are one fingerprint, so a group of copies costs one row in the index however large it is.
     """
     docs = materialize(df.select(F.col(id_col).cast("long").alias("id"), fingerprint(F.col(text_col), width).alias("fp")), "fingerprints")
     reps = materialize(docs.groupBy("fp").agg(F.min("id").alias("rep")), "representatives")
-    roots = components(link_fingerprints(reps.where("rep IS NOT NULL"), limit))
-    named = reps.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("f"), F.coalesce("root", "rep").alias("component_id"))
+    roots = settle(lambda: components(link_fingerprints(reps.select("fp", F.col("fp").alias("rep")), limit)), "roots")
+    linked = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    linked = materialize(reps.join(linked, F.col("fp") == F.col("node")).select("node", "root", "rep"), "linked")
+    least = linked.groupBy("root").agg(F.min("rep").alias("least")).withColumnRenamed("root", "named")
+    tied = linked.join(least, F.col("root") == F.col("named")).select("node", "least")
+    named = reps.join(tied, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("f"), F.when(F.col("node").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id"))
     return docs.join(named, F.col("fp") == F.col("f")).select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate components of all documents."""
+    """Near-duplicate components of all documents: 3-word fingerprints, links at 3 bits; see ``near_duplicates``."""
     return near_duplicates(table(spark, sf_dir, "documents"))
