@@ -128,7 +128,7 @@ def digest(packed: DataFrame) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in sequences of 1024 tokens."""
+    """All documents, null and empty ones as the id 0 alone, in sequences of 1024 tokens; one row per piece."""
     import public_tokenizers
 
     return digest(pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))

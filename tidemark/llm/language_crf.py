@@ -266,11 +266,13 @@ def predict(texts: list[str | None], crf: Crf, cache: int = 200_000) -> tuple[li
     return lang, score
 
 
-def train(documents: DataFrame, per_language: int = 400) -> Crf:
+def train(documents: DataFrame, per_language: int = 400, chars: int = 50_000) -> Crf:
     """Learn from documents outside the held-out fold with a language: about ``per_language`` of each, chosen by hash.
 
-    Expected counts are met by a hash threshold per language; at most twice as many rows in all reach the driver.
-    Labels are few (a language list). No usable row: a model without labels, which predicts ``und`` always.
+    Expected counts are met by a hash threshold per language; at most twice as many rows in all reach the driver, of a
+    document longer than ``chars`` a stretch of that length that begins at a place chosen by hash. Labels are few (a
+    language list). Rows with a null id teach nothing, repeated ids and texts are samples each, in an order that their
+    content fixes. No usable row: a model without labels, which predicts ``und`` always.
     """
     rows = documents.where(trainable(F.col("doc_id")) & F.col("lang").isNotNull())
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -281,7 +283,9 @@ def train(documents: DataFrame, per_language: int = 400) -> Crf:
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, int(space * min(1.0, per_language / n)) if n > per_language else space).otherwise(share)
     key = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(space))
-    got = rows.where(key < share).select("text", "lang", key.alias("key"), "doc_id").orderBy("key", "doc_id").limit(2 * per_language * len(counts)).toPandas()
+    start = F.pmod(F.xxhash64("doc_id", F.lit("start")), F.greatest(F.length("text") - chars, F.lit(0)) + 1).cast("int") + 1
+    sampled = F.substring("text", start, F.lit(chars)).alias("text")
+    got = rows.where(key < share).select(sampled, "lang", key.alias("key"), "doc_id").orderBy("key", "doc_id", "lang", "text").limit(2 * per_language * len(counts)).toPandas()
     words = [[c for c in map(letters_of, pieces((t or "").split())) if c] for t in got["text"]]
     kept = [(w, x) for w, x in zip(words, got["lang"]) if w]
     return train_crf([w for w, _ in kept], [x for _, x in kept])
@@ -299,7 +303,11 @@ def language(text: Column, crf: Crf) -> Column:
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language of every document; one projection, no shuffle of texts."""
+    """Language of every document; one projection, no shuffle of texts.
+
+    Null texts and those without letters are ``und`` with score 0; of equal scores the first language by name counts. A null
+    id is in no fold, so it is not held out and teaches nothing. Repeated rows stay; further columns are ignored.
+    """
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     crf = train(documents)
     out = documents.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), language(F.col("text"), crf).alias("found"))

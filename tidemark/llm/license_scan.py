@@ -124,7 +124,8 @@ def _joined(labels: Column) -> Column:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licenses that every document names."""
+    """Licenses that every document names, by the base phrases and by the rules; ``score`` is the confidence of the best
+    detection's priority. Null is the empty text, which names none; repeated rows stay."""
     found = scan(table(spark, sf_dir, "documents"))
     base, starts = F.col("base.label"), F.col("base.start")
     best = F.array_max("detections.priority")

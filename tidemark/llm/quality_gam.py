@@ -199,7 +199,11 @@ def quality_score(text: Column, model: QualityModel) -> Column:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality score of every document; one projection, no shuffle of texts."""
+    """Quality score of every document; one projection, no shuffle of texts.
+
+    Null and empty texts get the score of a text without words. A null id is in no fold, so it is not held out and teaches
+    nothing. Repeated rows stay, each with its score; further columns are ignored.
+    """
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(documents, table(spark, sf_dir, "labels"))
     out = documents.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), quality_score(F.col("text"), model).alias("score"))

@@ -61,7 +61,7 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of every document by byte_bpe_50k."""
+    """Tokens of every document by byte_bpe_50k, over the limit from 513; null and empty texts have none."""
     import public_tokenizers
 
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
