@@ -17,7 +17,7 @@ from tidemark.plans.server import serve
 from tidemark.sources.observations import insert_specs, numbers, parse_lines, query_lines, synthetic
 from tidemark.sources.store import DiskStore, MemoryStore
 from tidemark.sources.udp import UdpReader
-from tidemark.streaming.ingest import closed_windows, flushed, flushes, into_store, windows
+from tidemark.streaming.ingest import circuit, closed_windows, flush_into_store, flushed, flushes, into_store, windows
 
 HUNDRED = list(range(100))
 
@@ -102,17 +102,78 @@ def test_store(spark, tmp_path):
     assert [tuple(r)[:5] for r in engine.query('quantile(fetch("foo"), 0.5)').collect()] == [(0, 90, 0.5, 3, 2)]
     scan = engine.plan('fetch("foo", 5, 50)').df._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(metric,foo)" in scan and "GreaterThanOrEqual(window_start,5)" in scan and "LessThan(window_start,50)" in scan
-    store.insert(stored(spark, [("bar", 7, 9)], [5]), label="x")
-    store.insert(stored(spark, [("bar", 7, 9)], [6]), label="x")
-    assert [r.approx for r in engine.query('quantile(fetch("bar"), 0.5)').collect()] == [6]
+    assert store.insert(stored(spark, [("bar", 7, 9)], [5]), writer="x", number=3)
+    for number in (3, 2):
+        assert not store.insert(stored(spark, [("bar", 7, 9)], [6]), writer="x", number=number)
+    assert [r.approx for r in engine.query('quantile(fetch("bar"), 0.5)').collect()] == [5]
     store.downsample(100_000_000)
     assert store.windows().count() == 0
+    assert not store.insert(stored(spark, [("bar", 7, 9)], [5]), writer="x", number=3) and store.windows().count() == 0
     assert [r.metric for r in engine.query('search("*")').collect()] == ["bar", "foo"]
     assert DiskStore(spark, tier, str(tmp_path / "db")).metrics().count() == 2
     store.destroy()
     assert not (tmp_path / "db").exists()
 
 
+def test_inserts_during_a_downsampling_pass_stay(spark, tmp_path, monkeypatch):
+    tier, path = ExactTier(), str(tmp_path / "db")
+    store, other = DiskStore(spark, tier, path, keep_seconds=0), DiskStore(spark, tier, path)
+    store.insert(stored(spark, [("foo", 1000, 1001), ("foo", 1005, 1006)], [1]))
+    before = store.windows()
+    put = store._put
+
+    def slow(*args):
+        batch = put(*args)
+        other.insert(stored(spark, [("foo", 1000, 1001), ("late", 0, 1)], [2]))
+        return batch
+
+    monkeypatch.setattr(store, "_put", slow)
+    assert store.downsample(1400)
+    rows = sorted((r.metric, r.window_start, r.window_end, r.n) for r in tier.totals(store.windows()).collect())
+    assert rows == [("foo", 1000, 1010, 3), ("late", 0, 1, 1)]
+    assert {r.metric for r in other.metrics().collect()} == {"foo", "late"}
+    # two passes at once: the one that commits last finds its batches gone and changes nothing
+    monkeypatch.setattr(store, "_put", lambda *a: (other.downsample(1400), put(*a))[1])
+    assert not store.downsample(1400)
+    assert sum(r.n for r in tier.totals(store.windows()).collect()) == 4
+    assert before is not None
+
+
+def test_folding_keeps_all_rows_and_prunes_by_metric(spark, tmp_path, monkeypatch):
+    tier = ExactTier()
+    monkeypatch.setattr(DiskStore, "FAN", 3)
+    store = DiskStore(spark, tier, str(tmp_path / "db"))
+    for k in range(7):
+        store.insert(stored(spark, [("m.a", 0, 1 + k), (f"m.{k}", k, k + 1)], [k]))
+    assert len(store._state()[1]["batches"]) == 3
+    assert sorted((r.metric, r.window_end, r.n) for r in tier.totals(store.windows()).collect()) == sorted([("m.a", 7, 7), *[(f"m.{k}", k + 1, 1) for k in range(7)]])
+    plan = store.fetch("m.a")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(metric,m.a)" in plan
+    assert [r.metric for r in store.search("m.*").collect()] == sorted(["m.a", *[f"m.{k}" for k in range(7)]])
+
+
+def test_hot_windows_are_bounded_rows_and_ranks_are_dealt_out(spark):
+    tier = ExactTier()
+    obs = spark.range(3 * model.SPAN).select(F.lit("m").alias("metric"), F.lit(0).cast("long").alias("ts"), (F.col("id") * 1000).alias("value"))
+    obs = obs.where("id % 997 = 0")
+    w = tier.windowize(obs, 10)
+    assert w.count() > 1000 and tier.totals(w).count() == 1
+    values = [k * 1000 for k in range(0, 3 * model.SPAN, 997)]
+    values = [v for v in values if v <= model.MAX_VALUE]
+    found = tier.quantiles(tier.open(w), [0.1, 0.5, 0.999])
+    assert {r.phi: r.approx for r in found.collect()} == {p: values[int(len(values) * p)] for p in (0.1, 0.5, 0.999)}
+    for text in ('quantile(coalesce(fetch("m")), 0.5)', 'quantile(fetch("m"), 0.5)', 'quantile(group("days", fetch("m")), 0.5)'):
+        plan = Engine(MemoryStore(tier, w)).plan(text).df._jdf.queryExecution().executedPlan().toString()
+        lines = [x for x in plan.split("\n") if "Window [" in x and "value#" in x]
+        assert lines and all("span#" in x.split("windowspecdefinition(")[1].split("ASC")[0] for x in lines)
+
+
+def test_u64_bounds(spark):
+    rows = [("foo", 1, 2), ("foo", 5, 6)]
+    assert len(ask(spark, rows, f'quantile(fetch("foo", 0, {(1 << 64) - 1}), 0.5)')) == 2
+    assert ask(spark, rows, f'quantile(fetch("foo", {1 << 63}), 0.5)') == []
+
+
 def test_names(spark):
     good, bad = ["foo123", "foo.bar", "foo-bar", "foo_bar", "FooBar"], ["", "1", "1foo", "foo&bar", ".foo", "_foo", "-foo", "foo\n", None]
     rows = spark.createDataFrame([(x,) for x in good + bad], "name string").select("name", valid_name(F.col("name")).alias("ok")).collect()
@@ -174,12 +235,39 @@ def test_streams(spark, tmp_path):
     (tmp_path / "in/b").write_text("foo:100|ms")
     into_store(obs, store, 30, str(tmp_path / "progress")).awaitTermination()
     assert [(r.window_start, r["count"], r.upper) for r in Engine(store).query('quantile(fetch("foo"), 0.9)').collect()] == [(0, 11, 100), (30, 10, 19)]
-    q = windows(obs, 30).writeStream.format("memory").queryName("w").outputMode("append").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert spark.table("w").count() in (0, 1)
-
-
-def test_udp_and_server(spark):
+    for tier, n in ((KllTier(), 1), (ExactTier(), 10)):
+        q = windows(obs, 10, "5 seconds", tier).writeStream.format("memory").queryName(f"w_{tier.name}").outputMode("append").option("checkpointLocation", str(tmp_path / tier.name)).trigger(availableNow=True).start()
+        q.awaitTermination()
+        # the watermark is 25, so the window of 0 is closed and that of 30 is not
+        rows = tier.totals(spark.table(f"w_{tier.name}")).collect()
+        assert spark.table(f"w_{tier.name}").count() in (n, n + 1)
+        assert [(r.window_start, r.window_end, r.n, r.vmin, r.vmax) for r in rows] == [(0, 10, 11, 0, 100)]
+    closed = DiskStore(spark, ExactTier(), str(tmp_path / "db2"))
+    for _ in range(2):
+        flush_into_store(obs, closed, 10, str(tmp_path / "c3"), "5 seconds").awaitTermination()
+    (tmp_path / "in/c").write_text("foo:201|ms\nbar:7|ms")
+    flush_into_store(obs.withColumn("ts", F.when(F.col("value") > 200, 300).otherwise(F.col("ts"))), closed, 10, str(tmp_path / "c3"), "5 seconds").awaitTermination()
+    assert sorted((r.metric, r.window_start, r.n) for r in ExactTier().totals(closed.windows()).collect()) == [("bar", 30, 1), ("foo", 0, 11), ("foo", 30, 10)]
+
+
+def test_streamed_circuit(spark, tmp_path):
+    """Closes that fail, fail and succeed, over three micro-batches; then one without samples, then one with."""
+    ends = {1: (30, 60, False), 2: (60, 90, False), 3: (90, 120, True), 4: (120, 150, True), 5: (150, 180, True)}
+    samples = {1: ["foo", "bar"], 2: ["baz"], 3: ["bat", "foo"], 5: ["foo"]}
+    schema = "daemon string, i long, metric string, n long, window_start long, window_end long, ok boolean"
+    for k, own in enumerate(([1], [2, 3], [4, 5])):
+        rows = [("d", i, None, None, *ends[i]) for i in own] + [("d", i, m, 1, None, None, None) for i in own for m in samples.get(i, [])]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in{k}"))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        for f in (tmp_path / f"in{k}").glob("*.parquet"):
+            f.rename(tmp_path / "in" / f"{k}.parquet")
+    got = []
+    flushes = circuit(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in")))
+    flushes.writeStream.foreachBatch(lambda b, n: got.append((n, sorted(tuple(r)[1:] for r in b.collect())))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert [x for _, x in sorted(got)][:3] == [[], [("bar", 30, 120, 1), ("bat", 30, 120, 1), ("baz", 30, 120, 1), ("foo", 30, 120, 2)], [("foo", 150, 180, 1)]]
+
+
+def test_udp_and_server(spark, tmp_path):
     reader = UdpReader({"port": "0"})
     start = reader.initialOffset()
     assert list(reader.read(start)[0]) == []
@@ -190,6 +278,12 @@ def test_udp_and_server(spark):
     assert list(rows) == [("foo:1|ms",)] and list(reader.readBetweenOffsets(start, end)) == [("foo:1|ms",)]
     reader.commit(end)
     assert reader.kept == {}
+    spooled = UdpReader({"port": "0", "spool": str(tmp_path / "spool")})
+    spooled._keep(4, ["a", "b"])
+    again = UdpReader({"port": "0", "spool": str(tmp_path / "spool")})
+    assert list(again.readBetweenOffsets({"batch": 4}, {"batch": 5})) == [("a",), ("b",)]
+    again.commit({"batch": 5})
+    assert not list((tmp_path / "spool").glob("*.json"))
     with serve(Engine(MemoryStore(ExactTier(), stored(spark, [("foo", 0, 30)]))), ("127.0.0.1", 0)) as server:
         threading.Thread(target=server.serve_forever, daemon=True).start()
         for text, reply in (('search("*")', "foo\n"), ("fetch()", "[ERROR] MissingArg(fetch: argument 1)\n")):

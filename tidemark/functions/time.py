@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def div(value: Column, by: int) -> Column:
-    """Integer division."""
-    return F.floor(value / F.lit(by)).cast("long") if by != 1 else value
+    """Whole division of 64-bit integers, rounded down."""
+    return F.call_function("div", align(value, by), F.lit(by)) if by != 1 else value
 
 
 def hours(ts: Column) -> Column:
@@ -23,7 +23,7 @@ def days(ts: Column) -> Column:
 
 def align(ts: Column, size: int) -> Column:
     """Start of the tumbling window that holds ``ts``."""
-    return div(ts, size) * size
+    return ts - F.pmod(ts, F.lit(size).cast("long"))
 
 
 def duration(start: Column, end: Column) -> Column:

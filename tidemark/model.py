@@ -4,6 +4,8 @@ from __future__ import annotations
 
 MAX_VALUE = 4294967295
 EPSILON = 0.015
+#: Values of one stored histogram row, and of one task that ranks them: 4096 spans cover 32 bits.
+SPAN = 1 << 20
 KLL_K = 200
 
 #: Age limit of a window's start in seconds, and the width its windows get below that limit.
@@ -26,6 +28,22 @@ class TokenizeError(QueryError):
     """Text that is no token."""
 
 
+class UnexpectedChar(TokenizeError):
+    """A character that no token begins with."""
+
+
+class InvalidNumber(TokenizeError):
+    """Digits that are no number, or one beyond 64 unsigned bits."""
+
+
+class InvalidSymbol(TokenizeError):
+    """A name that goes on with a character it can't have."""
+
+
+class UnterminatedString(TokenizeError):
+    """A string without its closing quote."""
+
+
 class ParseError(QueryError):
     """Tokens that are no query."""
 
@@ -62,5 +80,17 @@ class PhiOutOfRange(QueryError):
     """A quantile outside the open interval from 0 to 1."""
 
 
-class InvalidMetricName(QueryError):
+class StorageError(QueryError):
+    """The store can't answer."""
+
+
+class InvalidMetricName(StorageError):
     """A name that no stored metric can have."""
+
+
+class StoreConflict(StorageError):
+    """Others changed the store faster than this writer could commit."""
+
+
+class CodecError(Exception):
+    """Bytes that are no encoding of what is asked for."""

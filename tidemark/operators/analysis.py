@@ -2,27 +2,22 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.functions.time import align
-from tidemark.operators.sketches import ExactTier
-
-
-def _histogram(values: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct values per key with first and last rank from 0, and the key's count ``n``."""
-    own = Window.partitionBy(*keys)
-    upto = own.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = values.groupBy(*keys, "value").agg(F.count("*").alias("weight"))
-    rows = rows.withColumn("last", F.sum("weight").over(upto) - 1).withColumn("n", F.sum("weight").over(own))
-    return rows.withColumn("first", F.col("last") - F.col("weight") + 1)
+from tidemark.functions.time import align, div
+from tidemark.operators.sketches import ExactTier, ranked
 
 
 def rank_error(values: DataFrame, probes: DataFrame, keys: list[str]) -> DataFrame:
     """Probes (keys, phi, approx) with ``error``: how far the rank floor(n * phi) lies from the nearest rank of approx, over
     n; 0 inside its ranks. Probes whose value does not occur are dropped."""
-    rows = _histogram(values, keys).withColumnRenamed("value", "approx")
+    rows = ranked(values.select(*keys, "value", F.lit(1).alias("weight")), keys).withColumnRenamed("value", "approx")
     n = F.col("n").cast("double")
     exact = F.floor(n * F.col("phi")).cast("long")
     error = F.when(exact <= F.col("first"), (F.col("first") - exact) / n).when(exact >= F.col("last"), (exact - F.col("last")) / n).otherwise(F.lit(0.0))
@@ -33,7 +28,7 @@ def stat_summary(samples: DataFrame, key: str, value: Column) -> DataFrame:
     """Per key: sample_count, median, p95, min and max of the non-null samples; no row without samples."""
     rows = samples.select(F.col(key).alias("wid"), value.cast("long").alias("value")).where("value IS NOT NULL")
     hist = rows.groupBy("wid", "value").agg(F.count("*").alias("weight"))
-    found = ExactTier("point").quantiles(ExactTier.frame(hist), [0.5, 0.95])
+    found = ExactTier("point").quantiles(ExactTier.frame(hist), [0.5, 0.95], repeats=False)
     out = found.groupBy(F.col("window_start").alias(key)).agg(F.max("count").alias("sample_count"), F.max(F.when(F.col("at") == 0, F.col("approx"))).alias("median"), F.max(F.when(F.col("at") == 1, F.col("approx"))).alias("p95"))
     ends = rows.groupBy(F.col("wid").alias(key)).agg(F.min("value").alias("min"), F.max("value").alias("max"))
     return out.join(ends, key)
@@ -66,22 +61,38 @@ def report_intervals(events: DataFrame, seconds: int, key: str = "report") -> Da
     """``events`` (key, ts, ...) with ``interval``: the data-driven interval of each, numbered from 0 per key.
 
     The first event opens an interval; the first one at least ``seconds`` after its opening opens the next and belongs to
-    it. Events of each key's last interval, which nothing closes, are dropped. The recurrence runs over distinct times.
+    it. Events of each key's last interval, which nothing closes, are dropped. Rows stream past in order of key and time;
+    what is kept between batches is one key, the opening and number of its interval. Null keys and times are dropped.
     """
-
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        ts = pdf["ts"].sort_values().to_numpy()
-        number, opened, out = 0, ts[0], []
-        for t in ts:
-            if t - opened >= seconds:
-                number, opened = number + 1, t
-            out.append(number)
-        got = pd.DataFrame({key: pdf[key].iloc[0], "ts": ts, "interval": out})
-        return got[got["interval"] < number]
-
-    times = events.select(key, "ts").distinct()
-    found = times.groupBy(key).applyInPandas(cut, f"{key} string, ts double, interval long")
-    return events.join(found, [key, "ts"])
+    order = Window.partitionBy(key).orderBy("ts")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = events.where(F.col(key).isNotNull() & F.col("ts").isNotNull()).withColumn("__end", F.max(F.col("ts").cast("double")).over(whole))
+    rows, columns = rows.sortWithinPartitions(key, "ts"), events.columns
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, opened, number = None, 0.0, 0
+        for b in batches:
+            if not len(b):
+                continue
+            names, ts = b.column(key), b.column("ts").cast(pa.float64()).to_numpy(zero_copy_only=False)
+            end = b.column("__end").to_numpy(zero_copy_only=False)
+            codes = names.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            edges = np.r_[0, np.flatnonzero(np.diff(codes)) + 1, len(ts)]
+            interval, closed = np.zeros(len(ts), np.int64), np.zeros(len(ts), bool)
+            for a, z in zip(edges[:-1], edges[1:]):
+                if names[a].as_py() != current:
+                    current, opened, number = names[a].as_py(), ts[a], 0
+                while a < z:
+                    # differences, as the rule has them; the sum could round otherwise
+                    stop = a + int(np.searchsorted(ts[a:z] - opened, seconds, "left"))
+                    interval[a:stop], closed[a:stop] = number, end[a] - opened >= seconds
+                    if stop < z:
+                        number, opened = number + 1, ts[stop]
+                    a = stop
+            out = pa.RecordBatch.from_arrays([*[b.column(c) for c in columns], pa.array(interval)], names=[*columns, "interval"])
+            yield out.filter(pa.array(closed))
+
+    return rows.mapInArrow(cut, StructType([*events.schema.fields, StructField("interval", LongType())]))
 
 
 def encoded_size(values: DataFrame, keys: list[str]) -> DataFrame:
@@ -90,7 +101,7 @@ def encoded_size(values: DataFrame, keys: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("value")
     rows = values.select(*keys, "value", F.row_number().over(w).alias("place"), (F.col("value") - F.coalesce(F.lag("value").over(w), F.lit(0))).alias("delta"))
     rows = rows.withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
-    blocks = F.floor(F.col("n") / 4).cast("long")
+    blocks = div(F.col("n"), 4)
     d = F.col("delta")
     width = F.when(F.col("place") > blocks * 4, 4).when(d < 1 << 8, 1).when(d < 1 << 16, 2).when(d < 1 << 24, 3).otherwise(4)
     return rows.groupBy(*keys).agg((F.sum(width) + F.max(blocks) + 8).cast("long").alias("bytes"))

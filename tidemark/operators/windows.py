@@ -26,13 +26,13 @@ def group(tier, frame: DataFrame, unit: str) -> DataFrame:
 
 
 def islands(windows: DataFrame) -> DataFrame:
-    """(window_start, window_end, island): windows that overlap, also through others, get one island, named by its first
-    start. Touching windows don't overlap.
+    """``windows`` (window_start, window_end, ...) with ``island``: windows that overlap, also through others, get one, named
+    by its first start. Touching windows don't overlap.
 
     Days are swept in parallel; what a day needs of those before it is the furthest end and the last start of an island,
     carried over by a sweep over one row per day.
     """
-    w = windows.select("window_start", "window_end").distinct().withColumn("day", div(F.col("window_start"), _BUCKET))
+    w = windows.withColumn("day", div(F.col("window_start"), _BUCKET))
     before = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy("day").orderBy("window_start", "window_end")
     reach = w.groupBy("day").agg(F.max("window_end").alias("far")).select("day", F.max("far").over(before).alias("reach"))
@@ -41,21 +41,25 @@ def islands(windows: DataFrame) -> DataFrame:
     w = w.withColumn("opens", F.when(furthest.isNull() | (F.col("window_start") >= furthest), F.col("window_start")))
     carried = w.groupBy("day").agg(F.max("opens").alias("latest")).select("day", F.max("latest").over(before).alias("carried"))
     w = w.join(carried, "day")
-    own = F.max("opens").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return w.select("window_start", "window_end", F.coalesce(own, "carried").alias("island"))
+    # by range, so windows with one start share what any of them opens, in whatever order they come
+    upto = Window.partitionBy("day").orderBy("window_start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    own = F.max("opens").over(upto)
+    return w.select(*windows.columns, F.coalesce(own, "carried").alias("island"))
 
 
 def combine(tier, frames: list[DataFrame]) -> DataFrame:
-    """The union of several series, overlapping windows merged within and across them. A series that occurs twice counts twice."""
-    every = reduce(DataFrame.unionByName, frames)
-    found = islands(every).select(F.col("window_start").alias("__s"), F.col("window_end").alias("__e"), "island")
-    tied = every.join(found, (F.col("window_start") == F.col("__s")) & (F.col("window_end") == F.col("__e"))).drop("__s", "__e")
-    return tier.merge(tied, F.col("island"))
+    """The union of several series, overlapping windows merged within and across them. A series that occurs twice counts twice.
+
+    Islands are found on the windows' bounds alone; payloads are read once and get their island by series and window.
+    """
+    every = reduce(DataFrame.unionByName, [f.withColumn("series", F.lit(k)) for k, f in enumerate(frames)])
+    tied = islands(tier.spans(every, "series", "wid")).select("series", "wid", "island")
+    return tier.merge(every.join(tied, ["series", "wid"]).drop("series"), F.col("island"))
 
 
-def quantile(tier, frame: DataFrame, phis: list[float]) -> DataFrame:
-    """Quantiles of every window, in the order of the phis; repeated phis give repeated rows."""
+def quantile(tier, frame: DataFrame, phis: list[float], repeats: bool = True) -> DataFrame:
+    """Quantiles of every window, in the order of the phis; repeated phis give repeated rows. ``repeats``: see ``ranked``."""
     for phi in phis:
         if not 0 < phi < 1:
             raise PhiOutOfRange(phi)
-    return tier.quantiles(frame, phis)
+    return tier.quantiles(frame, phis, repeats)

@@ -84,6 +84,27 @@ def _kll(obs_count: str = "count(*)") -> str:
 ALL_ROWS = "SELECT 0 AS s, 1 AS e, v, 1 AS w FROM obs"
 ERRORS = "CASE WHEN er <= lo THEN (lo - er) / CAST(n AS DOUBLE) WHEN er >= hi THEN (er - hi) / CAST(n AS DOUBLE) ELSE 0.0::DOUBLE END"
 
+CIRCUIT = (
+    f"WITH {OBS}, {DAEMONS} SELECT d.daemon, metric, ws AS window_start, we AS window_end, count(*) AS n FROM d JOIN t ON d.daemon = t.daemon AND d.s = t.s "
+    "JOIN f ON t.daemon = f.daemon AND t.g = f.g GROUP BY ALL"
+)
+DAYS = _merged(CLICK, "s // 86400")
+ENCODED = (
+    f"WITH {OBS}, r AS (SELECT metric, ts // 3600 * 3600 AS s, v - coalesce(lag(v) OVER (PARTITION BY metric, ts // 3600 ORDER BY v), 0) AS d, row_number() OVER (PARTITION BY metric, ts // 3600 ORDER BY v) AS k, "
+    "count(*) OVER (PARTITION BY metric, ts // 3600) AS n FROM obs) SELECT metric, s AS window_start, CAST(8 + max(n) // 4 + sum(CASE WHEN k > n // 4 * 4 THEN 4 WHEN d < 256 THEN 1 WHEN d < 65536 THEN 2 WHEN d < 16777216 THEN 3 ELSE 4 END) AS BIGINT) AS bytes{more} FROM r GROUP BY metric, s"
+)
+INTERVALS = (
+    f"WITH RECURSIVE {OBS}, o(report, k, ts) AS (SELECT event_type, 0, min(ts) FROM obs GROUP BY event_type UNION ALL "
+    "SELECT report, k + 1, (SELECT min(b.ts) FROM obs b WHERE b.event_type = report AND b.ts >= o.ts + 5000) FROM o WHERE ts IS NOT NULL), "
+    "i AS (SELECT report, k, ts AS a, lead(ts) OVER (PARTITION BY report ORDER BY k) AS b FROM o WHERE ts IS NOT NULL) "
+)
+
+
+def _kll_by_day(rows: str, phis: tuple[float, ...]) -> str:
+    given = ", ".join(f"(CAST({p!r} AS DOUBLE))" for p in phis)
+    return f"WITH {OBS} SELECT s AS window_start, e AS window_end, phi, count(*) AS count, true AS within FROM ({rows}) CROSS JOIN (VALUES {given}) p(phi) GROUP BY s, e, phi"
+
+
 SQL: dict[str, str] = {
     "fetch_all": _summary(CLICK),
     "fetch_from": _summary(_series("events.click", "ts // 3600 * 3600 >= 1705000000")),
@@ -125,8 +146,7 @@ b AS (SELECT *, sum(o) OVER (ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM a
     "ts // 30 * 30 < ts // 60 * 60 + 30 AND ts // 60 * 60 < ts // 30 * 30 + 45 AS overlaps, NOT (ts // 30 * 30 < ts // 60 * 60 + 30 AND ts // 60 * 60 < ts // 30 * 30 + 45) AS disjoint FROM obs",
     "window_tracker": f"WITH {OBS}, d AS (SELECT DISTINCT concat('d', user_id % 2) AS daemon, ts AS now FROM obs), p AS (SELECT *, lag(now) OVER (PARTITION BY daemon ORDER BY now) // 30 * 30 AS s FROM d) "
     "SELECT daemon, now, s AS window_start, s + 30 AS window_end FROM p WHERE s < now // 30 * 30",
-    "circuit_widening": f"WITH {OBS}, {DAEMONS} SELECT d.daemon, metric, ws AS window_start, we AS window_end, count(*) AS n FROM d JOIN t ON d.daemon = t.daemon AND d.s = t.s "
-    "JOIN f ON t.daemon = f.daemon AND t.g = f.g GROUP BY ALL",
+    "circuit_widening": CIRCUIT,
     "insert_merge": f"WITH {OBS} SELECT metric, ts // 3600 * 3600 AS window_start, max(ts // 3600 * 3600 + CASE WHEN event_id % 2 = 0 THEN 3600 ELSE 7200 END) AS window_end, count(*) AS n, min(v) AS vmin, max(v) AS vmax FROM obs GROUP BY metric, ts // 3600",
     "downsample_plan": f"WITH {OBS}, {_tiers(1706659200)} SELECT metric, s AS window_start, e AS window_end, CASE WHEN gone THEN 'discard' WHEN ns = s AND ne = e THEN 'ignore' ELSE 'expand' END AS action, ns AS new_start, ne AS new_end FROM b",
     "downsample_tiers": _downsampled(1706659200),
@@ -147,24 +167,41 @@ b AS (SELECT *, sum(o) OVER (ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM a
     "SELECT metric, max(n) AS sample_count, max(CASE WHEN k = CAST(floor(n * CAST(0.5 AS DOUBLE)) AS BIGINT) THEN v END) AS median, "
     "max(CASE WHEN k = CAST(floor(n * CAST(0.95 AS DOUBLE)) AS BIGINT) THEN v END) AS p95, min(v) AS min, max(v) AS max FROM r GROUP BY metric",
     "rate_tracker": f"WITH {OBS} SELECT metric, count(*) / CAST(greatest(max(ts) - min(ts), 1) AS DOUBLE) AS rate FROM obs GROUP BY metric",
-    "count_tracker": f"WITH {OBS}, g AS (SELECT i AS interval_start, name FROM range(1704067200, 1706659200, 3600) t(i), (VALUES {', '.join(f"('{n}')" for n in FIVE)}) v(name)) "
-    "SELECT interval_start, name, count(event_id) AS count FROM g LEFT JOIN obs ON event_type = name AND ts // 3600 * 3600 = interval_start AND event_id % 7 = 0 GROUP BY ALL",
+    "count_tracker": f"WITH {OBS}, g AS (SELECT i AS interval_start, name FROM range(1704067200, 1706659200, 3600) t(i), (VALUES {', '.join(f"('{n}')" for n in (*FIVE, 'none'))}) v(name)) "
+    "SELECT interval_start, name, count(event_id) AS count FROM g LEFT JOIN obs ON event_type = name AND ts // 3600 * 3600 = interval_start GROUP BY ALL",
     "latency_match": f"WITH {OBS}, e AS (SELECT user_id AS u, user_id % 4 AS q, ts, event_type = 'click' AS sent, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) "
     "OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM obs WHERE event_type IN ('click', 'purchase')), "
     "d AS (SELECT q, min(ts) FILTER (NOT sent) - min(ts) FILTER (sent) AS v FROM e WHERE g > 0 GROUP BY u, q, g HAVING count(*) FILTER (NOT sent) > 0), "
     "r AS (SELECT q, v, row_number() OVER (PARTITION BY q ORDER BY v) - 1 AS k, count(*) OVER (PARTITION BY q) AS n FROM d) "
     "SELECT q AS query_id, max(n) AS sample_count, max(CASE WHEN k = CAST(floor(n * CAST(0.5 AS DOUBLE)) AS BIGINT) THEN v END) AS median, "
     "max(CASE WHEN k = CAST(floor(n * CAST(0.95 AS DOUBLE)) AS BIGINT) THEN v END) AS p95, min(v) AS min, max(v) AS max FROM r GROUP BY q",
-    "report_intervals": f"WITH RECURSIVE {OBS}, o(report, k, ts) AS (SELECT event_type, 0, min(ts) FROM obs GROUP BY event_type UNION ALL "
-    "SELECT report, k + 1, (SELECT min(b.ts) FROM obs b WHERE b.event_type = report AND b.ts >= o.ts + 5000) FROM o WHERE ts IS NOT NULL), "
-    "i AS (SELECT report, k, ts AS a, lead(ts) OVER (PARTITION BY report ORDER BY k) AS b FROM o WHERE ts IS NOT NULL) "
-    "SELECT report, CAST(k AS BIGINT) AS interval, count(*) AS n, CAST(min(obs.ts) AS DOUBLE) AS first_ts FROM i JOIN obs ON event_type = report AND obs.ts >= a AND obs.ts < b GROUP BY report, k",
-    "encoded_size": f"WITH {OBS}, r AS (SELECT metric, ts // 3600 * 3600 AS s, v - coalesce(lag(v) OVER (PARTITION BY metric, ts // 3600 ORDER BY v), 0) AS d, row_number() OVER (PARTITION BY metric, ts // 3600 ORDER BY v) AS k, "
-    "count(*) OVER (PARTITION BY metric, ts // 3600) AS n FROM obs) SELECT metric, s AS window_start, CAST(8 + max(n) // 4 + sum(CASE WHEN k > n // 4 * 4 THEN 4 WHEN d < 256 THEN 1 WHEN d < 65536 THEN 2 WHEN d < 16777216 THEN 3 ELSE 4 END) AS BIGINT) AS bytes FROM r GROUP BY metric, s",
+    "report_intervals": INTERVALS + "SELECT report, CAST(k AS BIGINT) AS interval, count(*) AS n, CAST(min(obs.ts) AS DOUBLE) AS first_ts FROM i JOIN obs ON event_type = report AND obs.ts >= a AND obs.ts < b GROUP BY report, k",
+    "encoded_size": ENCODED.replace("{more}", ""),
     "exact_size": f"WITH {OBS} SELECT metric, ts // 3600 * 3600 AS window_start, count(DISTINCT v) AS stored FROM obs GROUP BY metric, ts // 3600",
     "format_lines": f"WITH {OBS} SELECT concat('start=', s, ', end=', e, ', phi=', CASE k WHEN 0 THEN '0.5' ELSE '0.9' END, ', count=', n, ', approx=', approx, ', lower=', lower, ', upper=', upper) AS line "
     f"FROM ({_ranks(_merged(CLICK, 's // 86400'), [0.5, 0.9])})",
     "kll_quantile": _kll(),
     "kll_merge": _kll(),
     "kll_size": f"WITH {OBS} SELECT ts // 3600 * 3600 AS window_start, count(*) AS n, true AS bounded FROM obs WHERE metric = 'events.click' GROUP BY ts // 3600",
+    "kll_group": _kll_by_day(DAYS, (0.1, 0.5, 0.9)),
+    "kll_combine": _kll_by_day(_merged(_islands(f"{CLICK} UNION ALL {VIEW}"), "s // 86400"), (0.1, 0.9)),
+    "kll_downsample": _downsampled(1706659200),
+    "kll_readable": f"WITH {OBS} SELECT s AS window_start, e AS window_end, count(*) AS n, max(v) > min(v) AS spread FROM ({DAYS}) GROUP BY s, e",
+    "exact_readable": f"WITH {OBS} SELECT s AS window_start, e AS window_end, v AS value, count(*) AS weight FROM ({DAYS}) GROUP BY s, e, v",
+    "fetch_u64_bounds": _quantile(CLICK, [0.5]),
+    "fetch_beyond": _quantile(_series("events.none"), [0.5]),
+    "stream_late": WINDOWIZED,
+    "stream_append_exact": f"WITH {OBS} SELECT metric, ts // 3600 * 3600 AS window_start, ts // 3600 * 3600 + 3600 AS window_end, count(*) AS n, min(v) AS vmin, max(v) AS vmax FROM obs "
+    "GROUP BY metric, ts // 3600 HAVING ts // 3600 * 3600 + 3600 <= (SELECT max(ts) - 30 FROM obs)",
+    "stream_circuit": CIRCUIT,
+    "store_replay": f"WITH {OBS.replace('FROM events)', 'FROM events WHERE event_id % 2 = 0)')}, {_tiers(1706659200)}, "
+    f"x AS (SELECT metric, ns AS s, ne AS e, n FROM b WHERE NOT gone UNION ALL SELECT metric, s, s + 10, count(*) FROM (SELECT concat('events.', event_type) AS metric, epoch_us(ts) // 10000000 * 10 AS s FROM events WHERE event_id % 2 = 1) GROUP BY ALL) "
+    "SELECT metric, s AS window_start, max(e) AS window_end, CAST(sum(n) AS BIGINT) AS n FROM x GROUP BY metric, s",
+    "number_file": f"WITH {OBS} SELECT v AS value FROM obs",
+    "insert_spec_file": f"WITH {OBS} SELECT metric AS name, count(*) AS count FROM obs GROUP BY metric",
+    "synthetic_windows": f"WITH {OBS}, c AS (SELECT metric, count(*) AS n FROM obs GROUP BY metric), i AS (SELECT metric, unnest(range(n)) AS i FROM c), s AS (SELECT metric, 1000000 + i * 30 AS t FROM i) "
+    "SELECT metric, t // 10 * 10 AS window_start, t // 10 * 10 + 10 AS window_end, CAST(5 AS BIGINT) AS n, true AS bounded FROM s",
+    "query_file": f"{_quantile(CLICK, [0.5])} UNION ALL ({_quantile(VIEW, [0.5])})",
+    "load_report": INTERVALS + "SELECT report AS kind, CAST(k AS BIGINT) AS interval, count(*) AS n, count(*) / CAST(greatest(max(obs.ts) - min(obs.ts), 1) AS DOUBLE) AS rate FROM i JOIN obs ON event_type = report AND obs.ts >= a AND obs.ts < b GROUP BY report, k",
+    "codec_roundtrip": ENCODED.replace("{more}", ", true AS same"),
 }

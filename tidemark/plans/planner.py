@@ -23,7 +23,7 @@ from tidemark.plans.output import lines
 
 @dataclass
 class Plan:
-    """kind: sketch, quantile or metric."""
+    """kind: sketch, quantile or metric. settled: a fetch, whose windows have the start of each of their rows."""
 
     kind: str
     df: DataFrame
@@ -97,7 +97,7 @@ class Engine:
         # stored windows have distinct starts, so by seconds there is nothing to merge
         if unit == "seconds" and inner.settled:
             return inner
-        return Plan("sketch", ops.group(self.tier, inner.df, unit))
+        return Plan("sketch", ops.group(self.tier, inner.df if inner.settled else self.tier.settle(inner.df), unit))
 
     def _combine(self, call: Call) -> Plan:
         frames = [self._sketches(call, k).df for k in range(len(call.args))]
@@ -110,4 +110,4 @@ class Engine:
             raise MissingArg("quantile")
         inner = self._sketches(call, 0)
         phis = [_arg(call, k, float) for k in range(1, len(call.args))]
-        return Plan("quantile", ops.quantile(self.tier, inner.df, phis))
+        return Plan("quantile", ops.quantile(self.tier, inner.df, phis, repeats=not inner.settled))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import socketserver
 
+from pyspark.errors import PySparkException
+
 from tidemark.model import QueryError
 from tidemark.plans.output import error_line
 from tidemark.plans.planner import Engine
@@ -19,7 +21,7 @@ def serve(engine: Engine, address: tuple[str, int]) -> socketserver.ThreadingTCP
             try:
                 for row in engine.text(self.rfile.read().decode().strip("\n")).toLocalIterator():
                     self.wfile.write(f"{row['line']}\n".encode())
-            except QueryError as e:
+            except (QueryError, UnicodeDecodeError, PySparkException) as e:
                 self.wfile.write(f"{error_line(e)}\n".encode())
 
     return socketserver.ThreadingTCPServer(address, Handler)

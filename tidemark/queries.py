@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -9,16 +11,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import codec
 from tidemark.functions.names import valid_name
-from tidemark.functions.time import align, days, disjoint, duration, hours, overlaps
+from tidemark.functions.time import align, days, disjoint, div, duration, hours, overlaps
 from tidemark.operators import analysis
 from tidemark.operators.downsample import downsample, plan
 from tidemark.operators.sketches import ExactTier, KllTier
 from tidemark.operators.windows import islands
 from tidemark.plans.planner import Engine
-from tidemark.sources.observations import from_events, from_lineitem, parse_lines
+from tidemark.sources.load import report
+from tidemark.sources.observations import from_events, from_lineitem, insert_specs, numbers, parse_lines, query_lines, synthetic
 from tidemark.sources.store import DiskStore, MemoryStore
-from tidemark.streaming.ingest import closed_windows, flushed, into_store
+from tidemark.streaming.ingest import circuit, closed_windows, flush_into_store, flushed, into_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 HOUR = 3600
@@ -72,7 +76,8 @@ def metric_name_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def windowize_10s(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ExactTier().windowize(from_events(spark, sf_dir), 10).select("metric", "window_start", "window_end", "n", "vmin", "vmax")
+    tier = ExactTier()
+    return tier.totals(tier.windowize(from_events(spark, sf_dir), 10)).drop("stored")
 
 
 def time_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,25 +101,138 @@ def insert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = DiskStore(spark, tier, _folder(spark, "store"))
     for part in _halves(spark, sf_dir, tier):
         store.insert(part)
-    return tier.merge_stored(store.windows()).select("metric", "window_start", "window_end", "n", "vmin", "vmax")
+    return tier.totals(store.windows()).drop("stored")
+
+
+_LOCAL: list[str] = []
 
 
 def _folder(spark: SparkSession, label: str) -> str:
+    """A new folder that all executors see; a local session without one gets a temporary folder that ends with it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None and not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{base or tempfile.mkdtemp(prefix='tidemark-')}/tidemark/{label}-{uuid.uuid4().hex}"
+    if base is None and not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="tidemark-"))
+        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
+    return f"{base or _LOCAL[0]}/tidemark/{label}-{uuid.uuid4().hex}"
 
 
-def stream_windowize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream of files into a store, read back."""
+def _observed(rows: DataFrame) -> DataFrame:
+    return rows.select("event_id", "user_id", F.concat(F.lit("events."), "event_type").alias("metric"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts"), F.round(F.col("value") * 100).cast("long").alias("value"))
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of files."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    e = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")  # a pattern, since a stream takes no single file
-    o = e.select(F.concat(F.lit("events."), "event_type").alias("metric"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts"), F.round(F.col("value") * 100).cast("long").alias("value"))
+    return _observed(spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet"))  # a pattern, since a stream takes no single file
+
+
+def stream_windowize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream into a store, read back."""
+    tier = ExactTier()
+    store = DiskStore(spark, tier, _folder(spark, "stream"))
+    into_store(_stream(spark, sf_dir), store, 10, _folder(spark, "progress")).awaitTermination()
+    return tier.totals(store.windows()).drop("stored")
+
+
+def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two micro-batches of which the second is late by all the first's time: its windows merge with those stored."""
+    tier, source = ExactTier(), _folder(spark, "late")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    for k in (0, 1):
+        e.where(F.col("event_id") % 2 == k).write.parquet(f"{source}/{k}")
+    store = DiskStore(spark, tier, _folder(spark, "stream"))
+    for k in (0, 1):
+        rows = _observed(spark.readStream.schema(e.schema).parquet(f"{source}/{k}"))
+        into_store(rows, store, 10, _folder(spark, "progress")).awaitTermination()
+    return tier.totals(store.windows()).drop("stored")
+
+
+def stream_append_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly windows that the watermark closes, each inserted once; those still open at the stream's end are not there."""
     tier = ExactTier()
     store = DiskStore(spark, tier, _folder(spark, "stream"))
-    into_store(o, store, 10, _folder(spark, "progress")).awaitTermination()
-    return tier.merge_stored(store.windows()).select("metric", "window_start", "window_end", "n", "vmin", "vmax")
+    flush_into_store(_stream(spark, sf_dir), store, HOUR, _folder(spark, "progress")).awaitTermination()
+    return tier.totals(store.windows()).drop("stored")
+
+
+def stream_circuit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples and closes of two daemons as a stream; every third close succeeds."""
+    source, out = _folder(spark, "commands"), _folder(spark, "flushed")
+    c = closes(spark, sf_dir)
+    none = F.lit(None)
+    ends = c.select("daemon", "i", none.cast("string").alias("metric"), none.cast("long").alias("n"), "window_start", "window_end", "ok")
+    samples = _by_daemon(spark, sf_dir).join(c, ["daemon", "window_start"])
+    samples = samples.select("daemon", "i", "metric", F.lit(1).cast("long").alias("n"), none.cast("long").alias("window_start"), none.cast("long").alias("window_end"), none.cast("boolean").alias("ok"))
+    commands = ends.unionByName(samples)
+    commands.write.parquet(source)
+    stream = circuit(spark.readStream.schema(commands.schema).option("maxFilesPerTrigger", 1_000_000).parquet(source))
+    stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", _folder(spark, "progress")).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def store_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An insert, a downsampling pass, the same insert again (known, so skipped), and another."""
+    tier = ExactTier()
+    store = DiskStore(spark, tier, _folder(spark, "store"))
+    o = from_events(spark, sf_dir)
+    parts = [tier.windowize(o.where(F.col("event_id") % 2 == k), 10) for k in (0, 1)]
+    store.insert(parts[0], writer="daemon", number=0)
+    store.downsample(1706659200)
+    store.insert(parts[0], writer="daemon", number=0)
+    store.insert(parts[1], writer="daemon", number=1)
+    return tier.totals(store.windows()).drop("vmin", "vmax", "stored")
+
+
+def number_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events' values as a file of numbers, each followed by a line that is none, read back."""
+    path = _folder(spark, "numbers")
+    v = F.col("value").cast("string")
+    from_events(spark, sf_dir).select(F.explode(F.array(v, F.concat(F.lit("-x"), v))).alias("value")).write.text(path)
+    return numbers(spark, path)
+
+
+def insert_spec_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and names as lines, with malformed ones between, read back."""
+    path = _folder(spark, "specs")
+    n = from_events(spark, sf_dir).groupBy("metric").agg(F.count("*").cast("string").alias("n"))
+    n.select(F.explode(F.array(F.concat_ws(" ", "n", "metric"), F.concat_ws(" ", "metric", "n"), F.col("n"))).alias("value")).write.text(path)
+    return insert_specs(spark, path)
+
+
+def synthetic_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated windows: one for every event of a type, five values each."""
+    specs = from_events(spark, sf_dir).groupBy(F.col("metric").alias("name")).agg(F.count("*").alias("count"))
+    made = ExactTier().windowize(synthetic(spark, specs, 1_000_000, 30, 5), 10)
+    return made.select("metric", "window_start", "window_end", "n", ((F.col("vmin") >= 0) & (F.col("vmax") < 10_000)).alias("bounded"))
+
+
+def query_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries from a file, one a line, run one after the other."""
+    path = _folder(spark, "queries")
+    spark.createDataFrame([(f'quantile(fetch("{m}"), 0.5)',) for m in (CLICK, VIEW)], "value string").coalesce(1).write.text(path)
+    e = engine(spark, sf_dir)
+    first, second = (e.query(q) for q in query_lines(spark, path))
+    return first.unionByName(second)
+
+
+def load_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and rates of report intervals of 5000 seconds by event type."""
+    e = from_events(spark, sf_dir).select(F.col("event_type").alias("kind"), F.col("ts").cast("double").alias("ts"))
+    return report(e, 5000)
+
+
+def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each window's values, and whether they decode to the same."""
+    o = from_events(spark, sf_dir).select("metric", align(F.col("ts"), HOUR).alias("window_start"), "value")
+    v = o.groupBy("metric", "window_start").agg(F.sort_array(F.collect_list("value")).alias("v")).withColumn("data", codec.encoded(F.col("v")))
+    return v.select("metric", "window_start", F.length("data").cast("long").alias("bytes"), (codec.decoded(F.col("data")) == F.col("v")).alias("same"))
+
+
+def exact_readable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir)
+    return e.tier.readable(e.plan(f'group("days", fetch("{CLICK}"))').df)
 
 
 def _tens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,11 +240,11 @@ def _tens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _downsampled(now: int) -> Query:
-    return lambda spark, sf_dir: downsample(ExactTier(), _tens(spark, sf_dir), now).select("metric", "window_start", "window_end", "n")
+    return lambda spark, sf_dir: ExactTier().totals(downsample(ExactTier(), _tens(spark, sf_dir), now)).drop("vmin", "vmax", "stored")
 
 
 def downsample_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan(_tens(spark, sf_dir), 1706659200).select("metric", "window_start", "window_end", "action", "new_start", "new_end")
+    return plan(ExactTier().totals(_tens(spark, sf_dir)), 1706659200).select("metric", "window_start", "window_end", "action", "new_start", "new_end")
 
 
 def downsample_then_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +255,7 @@ def downsample_then_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def overlap_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = from_events(spark, sf_dir)
     w = o.select(align(F.col("ts"), 600).alias("window_start"), (align(F.col("ts"), 600) + 600 + F.col("user_id") % 5 * 300).alias("window_end"))
-    return islands(w)
+    return islands(w.distinct())
 
 
 def closes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,10 +266,13 @@ def closes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("daemon", i.cast("long").alias("i"), "window_start", (F.col("window_start") + HOUR).alias("window_end"), (i % 3 == 0).alias("ok"))
 
 
+def _by_daemon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return from_events(spark, sf_dir).withColumn("daemon", F.concat(F.lit("d"), (F.col("user_id") % 2).cast("string"))).withColumn("window_start", align(F.col("ts"), HOUR))
+
+
 def circuit_widening(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = from_events(spark, sf_dir).withColumn("daemon", F.concat(F.lit("d"), (F.col("user_id") % 2).cast("string"))).withColumn("window_start", align(F.col("ts"), HOUR))
     c = closes(spark, sf_dir)
-    seen = o.join(c, ["daemon", "window_start"]).groupBy("daemon", "metric", "i").agg(F.count("*").alias("n"))
+    seen = _by_daemon(spark, sf_dir).join(c, ["daemon", "window_start"]).groupBy("daemon", "metric", "i").agg(F.count("*").alias("n"))
     return flushed(seen, c)
 
 
@@ -165,7 +286,7 @@ def rank_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = from_events(spark, sf_dir).select("metric", "value")
     tier = ExactTier("point")
     hist = o.groupBy(F.col("metric").alias("wid"), "value").agg(F.count("*").alias("weight"))
-    probes = tier.quantiles(tier.frame(hist), [0.45]).select(F.col("window_start").alias("metric"), F.lit(0.5).alias("phi"), "approx")
+    probes = tier.quantiles(tier.frame(hist), [0.45], repeats=False).select(F.col("window_start").alias("metric"), F.lit(0.5).alias("phi"), "approx")
     return analysis.rank_error(o, probes, ["metric"])
 
 
@@ -182,8 +303,9 @@ def rate_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def count_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = from_events(spark, sf_dir).withColumn("name", F.col("event_type")).where(F.col("event_id") % 7 == 0)
-    return analysis.counts(o, list(FIVE), HOUR, 1704067200, 1706659200)
+    """All events by hour; the name ``none`` has no events, so its zeros show."""
+    o = from_events(spark, sf_dir).withColumn("name", F.col("event_type"))
+    return analysis.counts(o, [*FIVE, "none"], HOUR, 1704067200, 1706659200)
 
 
 def latency_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,7 +325,8 @@ def encoded_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exact_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ExactTier().windowize(from_events(spark, sf_dir), HOUR).select("metric", "window_start", F.size("hist").cast("long").alias("stored"))
+    tier = ExactTier()
+    return tier.totals(tier.windowize(from_events(spark, sf_dir), HOUR)).select("metric", "window_start", "stored")
 
 
 def weighted_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,6 +376,32 @@ def kll_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tier.size(frame).select("window_start", "n", (F.col("retained") <= F.col("n")).alias("bounded"))
 
 
+def _kll_windows(text: str, unit: int) -> Query:
+    """Whether quantiles that a query finds in sketches stay within the rank error of all values of the same unit of time."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = engine(spark, sf_dir, KllTier()).query(text)
+        o = from_events(spark, sf_dir)
+        values = o.where(F.col("metric").isin(*[m for m in (CLICK, VIEW) if f'"{m}"' in text])).select(div(F.col("ts"), unit).alias("unit"), "value")
+        keyed = found.withColumn("unit", div(F.col("window_start"), unit))
+        errors = analysis.rank_error(values, keyed.select("unit", "phi", "approx"), ["unit"])
+        return keyed.join(errors, ["unit", "phi", "approx"]).select("window_start", "window_end", "phi", "count", (F.col("error") <= 0.02).alias("within"))
+
+    return run
+
+
+def kll_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tier = KllTier()
+    return tier.totals(downsample(tier, tier.windowize(from_events(spark, sf_dir), 10), 1706659200)).drop("vmin", "vmax")
+
+
+def kll_readable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the weights of a sketch's values add up to its count, and its values lie within its extremes."""
+    e = engine(spark, sf_dir, KllTier())
+    found = e.tier.readable(e.plan(f'group("days", fetch("{CLICK}"))').df)
+    return found.groupBy("window_start", "window_end").agg(F.sum("weight").alias("n"), (F.max("value") > F.min("value")).alias("spread"))
+
+
 def _combined(*names: str) -> str:
     return f"combine({', '.join(f'fetch(\"events.{n}\")' for n in names)})"
 
@@ -313,4 +462,21 @@ QUERIES: dict[str, Query] = {
     "kll_quantile": kll_quantile,
     "kll_merge": kll_merge,
     "kll_size": kll_size,
+    "kll_group": _kll_windows(f'quantile(group("days", fetch("{CLICK}")), 0.1, 0.5, 0.9)', 86_400),
+    "kll_combine": _kll_windows(f'quantile(group("days", {_combined("click", "view")}), 0.1, 0.9)', 86_400),
+    "kll_downsample": kll_downsample,
+    "kll_readable": kll_readable,
+    "exact_readable": exact_readable,
+    "fetch_u64_bounds": _asked(f'quantile(fetch("{CLICK}", 0, 18446744073709551615), 0.5)'),
+    "fetch_beyond": _asked(f'quantile(fetch("{CLICK}", 9223372036854775808), 0.5)'),
+    "stream_late": stream_late,
+    "stream_append_exact": stream_append_exact,
+    "stream_circuit": stream_circuit,
+    "store_replay": store_replay,
+    "number_file": number_file,
+    "insert_spec_file": insert_spec_file,
+    "synthetic_windows": synthetic_windows,
+    "query_file": query_file,
+    "load_report": load_report,
+    "codec_roundtrip": codec_roundtrip,
 }
