@@ -4,11 +4,15 @@ Two fingerprints of 64 bits that differ in at most three bits differ in at most
 half is indexed under its 32 one-wildcard variants (one bit blanked), so such halves share a variant and meet in an
 equality grouping; candidates are then verified on all 64 bits. Groups too large to compare pair by pair are divided
 again by the other half's pieces, of which one must agree, so no link is lost and no group is collected whole.
+
+``similar_texts`` puts the same index under shingle similarity: fingerprints of word pairs, which edits disturb less, cut
+into four segments, so up to seven bits may differ; five-word Jaccard similarity then decides on each candidate.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +21,33 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import materialize, settle, table
+from tidemark.llm.shared import materialize, settle, ship, table
+
+@dataclass(frozen=True)
+class Cut:
+    """64 bits in 2 or 4 segments: one of them differs by at most one bit, if all differ by at most ``radius``."""
+
+    segments: int = 2
+
+    @property
+    def width(self) -> int:
+        return 64 // self.segments
+
+    @property
+    def radius(self) -> int:
+        return 2 * self.segments - 1
+
+    @property
+    def piece(self) -> int:
+        """Bits of each of radius + 1 pieces of the other segments; one of them agrees."""
+        return (64 - self.width) // (self.radius + 1)
+
+    def others(self, slot: int) -> list[int]:
+        """Bits of the segments but the slot's."""
+        return [k for k in range(64) if k // self.width != slot // self.width]
 
-RADIUS = 3
-_HALF = np.uint64(0xFFFFFFFF)
+
+HALVES, QUARTERS = Cut(2), Cut(4)
 
 
 def simhash(text: bytes, width: int = 3) -> int:
@@ -49,39 +76,48 @@ def fingerprint(text: Column, width: int = 3) -> Column:
     return of(F.coalesce(text, F.lit("")))
 
 
-def _pairs(group: np.ndarray, fp: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of linked pairs within runs of equal ``group``. A pair whose half agrees wholly counts in slot 0 only."""
+def _pairs(group: np.ndarray, fp: np.ndarray, slot: np.ndarray, cut: Cut = HALVES) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of linked pairs within runs of equal ``group``. A pair whose segment agrees wholly counts in its first slot only."""
     left, right, lag = [], [], 1
+    mask = np.uint64((1 << cut.width) - 1)
     while lag < len(group):
         i = np.flatnonzero(group[lag:] == group[:-lag])
         if not len(i):
             break
         x = fp[i] ^ fp[i + lag]
         at = slot[i]
-        near = (np.bitwise_count(x) <= RADIUS) & ((((x >> (at // 32 * 32).astype(np.uint64)) & _HALF) != 0) | (at % 32 == 0))
+        near = (np.bitwise_count(x) <= cut.radius) & ((((x >> (at // cut.width * cut.width).astype(np.uint64)) & mask) != 0) | (at % cut.width == 0))
         left.append(i[near])
         right.append(i[near] + lag)
         lag += 1
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _divided(fp: np.ndarray, slot: int, bits: list[int], limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs of one group of any size: divided by each of four pieces of ``bits``, one of which must agree."""
-    if len(fp) <= limit or len(bits) < 8:
-        return _pairs(np.zeros(len(fp), np.int64), fp, np.full(len(fp), slot))
+def _divided(fp: np.ndarray, slot: int, bits: list[int], limit: int, cut: Cut = HALVES) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs of one group of any size: divided by each of radius + 1 pieces of ``bits``, one of which must agree."""
+    if len(fp) <= limit or len(bits) < 2 * (cut.radius + 1):
+        return _pairs(np.zeros(len(fp), np.int64), fp, np.full(len(fp), slot), cut)
     left, right = [], []
-    for piece in np.array_split(np.array(bits, np.uint64), 4):
+    for piece in np.array_split(np.array(bits, np.uint64), cut.radius + 1):
         mask = np.bitwise_or.reduce(np.uint64(1) << piece)
         order = np.argsort(fp & mask, kind="stable")
         cuts = np.flatnonzero(np.diff(fp[order] & mask)) + 1
         for own in np.split(order, cuts):
             if len(own) > 1:
-                a, b = _divided(fp[own], slot, [k for k in bits if not int(mask) >> k & 1], limit)
+                a, b = _divided(fp[own], slot, [k for k in bits if not int(mask) >> k & 1], limit, cut)
                 left.append(own[a])
                 right.append(own[b])
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def _nearest(a: np.ndarray, b: np.ndarray, fp: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (a, b) of positions, those of each node with the nearest of its neighbours of smaller fingerprint."""
+    high, low = np.where(fp[a] > fp[b], a, b), np.where(fp[a] > fp[b], b, a)
+    order = np.lexsort((fp[low], np.bitwise_count(fp[a] ^ fp[b]), high))
+    first = order[np.unique(high[order], return_index=True)[1]]
+    return node[high[first]], node[low[first]]
+
+
 def _forest(a: np.ndarray, b: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Star links (node, least node) that keep the components of the pairs (a, b) of positions into ``node``."""
     used, at = np.unique(node[np.r_[a, b]], return_inverse=True)
@@ -109,9 +145,14 @@ def _rows(hot: bool, key: np.ndarray, fp: np.ndarray, u: np.ndarray, v: np.ndarr
     return pa.record_batch([pa.array(np.full(len(u), hot)), pa.array(key), pa.array(fp), pa.array(u), pa.array(v)], schema=_LINK)
 
 
-def _links(limit: int, final: bool):
+def _links(limit: int, final: bool, cut: Cut, nearest: bool):
     """Links of rows sorted by (key, piece). Runs longer than ``limit`` go on as hot rows, or in the final pass are divided."""
 
+    def reduced(a: np.ndarray, b: np.ndarray, r: np.ndarray) -> pa.RecordBatch:
+        fp = np.ascontiguousarray(r[:, 1]).view(np.uint64)
+        u, v = _nearest(a, b, fp, r[:, 2]) if nearest else _forest(a, b, r[:, 2])
+        return _rows(False, u, u, u, v)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         spilling = None
@@ -125,10 +166,9 @@ def _links(limit: int, final: bool):
             group = np.cumsum(new)
             if (~long).any():
                 r = rows[~long]
-                a, b = _pairs(group[~long], r[:, 1].view(np.uint64), r[:, 0] >> 32)
+                a, b = _pairs(group[~long], np.ascontiguousarray(r[:, 1]).view(np.uint64), r[:, 0] >> 32, cut)
                 if len(a):
-                    u, v = _forest(a, b, r[:, 2])
-                    yield _rows(False, u, u, u, v)
+                    yield reduced(a, b, r)
             if not long.any():
                 return
             if not final:
@@ -138,11 +178,9 @@ def _links(limit: int, final: bool):
             for g in np.unique(group[long]):
                 r = rows[group == g]
                 slot = int(r[0, 0] >> 32)
-                other = range(32) if slot >= 32 else range(32, 64)
-                a, b = _divided(np.ascontiguousarray(r[:, 1]).view(np.uint64), slot, list(other), limit)
+                a, b = _divided(np.ascontiguousarray(r[:, 1]).view(np.uint64), slot, cut.others(slot), limit, cut)
                 if len(a):
-                    u, v = _forest(a, b, r[:, 2])
-                    yield _rows(False, u, u, u, v)
+                    yield reduced(a, b, r)
 
         for batch in batches:
             rows = np.column_stack([batch.column(k).to_numpy() for k in range(4)])
@@ -168,22 +206,79 @@ def _links(limit: int, final: bool):
     return run
 
 
-def link_fingerprints(reps: DataFrame, limit: int = 2048) -> DataFrame:
-    """Links (u, v) that join all fingerprints within three bits, from (fp, rep): one row per fingerprint, rep not null.
+def link_fingerprints(reps: DataFrame, limit: int = 2048, cut: Cut = HALVES, nearest: bool = False) -> DataFrame:
+    """Links (u, v) that join all fingerprints within ``cut.radius`` bits, from (fp, rep): one row per fingerprint, rep not null.
 
-    Not all pairs: each task reduces what it verified to a forest. ``limit`` is the longest run compared pair by pair.
+    Not all pairs: each task reduces what it verified to a forest, or with ``nearest`` to a pair per fingerprint and
+    variant, that with the nearest smaller one. ``limit`` is the longest run compared pair by pair.
     """
+    w = cut.width
     slots = reps.select("fp", "rep", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("slot"))
-    key = "shiftleft(bigint(slot), 32) | ((CASE WHEN slot < 32 THEN fp ELSE shiftrightunsigned(fp, 32) END & 4294967295L) & ~shiftleft(1L, slot % 32))"
+    key = f"shiftleft(bigint(slot), 32) | (shiftrightunsigned(fp, int(slot div {w} * {w})) & {(1 << w) - 1}L & ~shiftleft(1L, int(slot % {w})))"
     variants = slots.select(F.expr(key).alias("key"), "fp", "rep", F.lit(0).cast("long").alias("piece"))
-    first = materialize(variants.repartition("key").sortWithinPartitions("key").mapInArrow(_links(limit, False), _LINK_SQL), "variants")
-    other = "(CASE WHEN shiftright(key, 32) < 32 THEN shiftrightunsigned(fp, 32) ELSE fp END)"
-    hot = first.where("hot").select("key", "fp", F.col("u").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("b"))
-    hot = hot.select("key", "fp", "rep", F.expr(f"shiftleft(bigint(b), 8) | (shiftrightunsigned({other}, 8 * b) & 255L)").alias("piece"))
-    second = hot.repartition("key", "piece").sortWithinPartitions("key", "piece").mapInArrow(_links(limit, True), _LINK_SQL)
+    first = materialize(variants.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links(limit, False, cut, nearest), _LINK_SQL), "variants")
+    # the bits behind the slot's segment, turned to the low end
+    turn = f"int((shiftright(key, 32) div {w} + 1) * {w} % 64)"
+    other = f"(shiftrightunsigned(fp, {turn}) | shiftleft(fp, 64 - {turn}))"
+    hot = first.where("hot").select("key", "fp", F.col("u").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(cut.radius))).alias("b"))
+    hot = hot.select("key", "fp", "rep", F.expr(f"shiftleft(bigint(b), 8) | (shiftrightunsigned({other}, {cut.piece} * b) & {(1 << cut.piece) - 1}L)").alias("piece"))
+    second = hot.repartition("key", "piece").sortWithinPartitions("key", "piece", "fp").mapInArrow(_links(limit, True, cut, nearest), _LINK_SQL)
     return first.where("NOT hot").select("u", "v").unionByName(second.select("u", "v"))
 
 
+def shingle_set(text: bytes, width: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles; of fewer words the whole sequence; none without words."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.int64)
+    if len(words) < width:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], np.uint64).view(np.int64)
+    grams = map(b" ".join, zip(*(words[k:] for k in range(width))))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64, len(words) - width + 1).view(np.int64))
+
+
+def _shingles(text: Column, width: int) -> Column:
+    @F.arrow_udf("array<bigint>")
+    def of(texts: pa.Array) -> pa.Array:
+        sets = [shingle_set(t, width) for t in texts.cast(pa.binary()).to_pylist()]
+        return pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(x) for x in sets])].astype(np.int32), np.concatenate([np.zeros(0, np.int64), *sets]))
+
+    return of(F.coalesce(text, F.lit("")))
+
+
+def _jaccard(left: str, right: str) -> Column:
+    @F.arrow_udf("double")
+    def of(left: pa.Array, right: pa.Array) -> pa.Array:
+        out = []
+        for a, b in zip(left, right):
+            x, y = (z.values.to_numpy() for z in (a, b))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0)
+        return pa.array(out, pa.float64())
+
+    return of(left, right)
+
+
+def similar_texts(df: DataFrame, key_col: str, text_col: str = "text", width: int = 5, similarity: float = 0.8, pairs: int = 2, cut: Cut = QUARTERS, limit: int = 2048) -> DataFrame:
+    """(key, root) of the rows of ``df`` whose component has a smaller key, keys being a distinct, non-null long per row.
+
+    Fingerprints of ``pairs``-word shingles within ``cut.radius`` bits are candidates: each text with its nearest under
+    every variant, and texts of one fingerprint with the first of them. Those whose ``width``-word Jaccard similarity is at
+    least ``similarity`` are links. Texts without words are similar to each other only, and null is the empty text.
+    """
+    ship(df.sparkSession)
+    docs = materialize(df.select(F.col(key_col).alias("key"), fingerprint(F.col(text_col), pairs).alias("fp")), "fingerprints")
+    reps = materialize(docs.groupBy("fp").agg(F.min("key").alias("rep")), "representatives")
+    alike = docs.join(reps, "fp").where("key <> rep").select(F.col("key").alias("u"), F.col("rep").alias("v"))
+    found = link_fingerprints(reps, limit, cut, nearest=True).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    candidates = materialize(found.unionByName(alike).distinct(), "candidates")
+    nodes = candidates.select(F.col("u").alias("node")).unionByName(candidates.select(F.col("v").alias("node"))).distinct()
+    texts = df.select(F.col(key_col).alias("key"), F.col(text_col).alias("text")).join(nodes, F.col("key") == F.col("node"), "left_semi")
+    sets = materialize(texts.select("key", _shingles(F.col("text"), width).alias("s")), "shingles")
+    pair = candidates.join(sets.select(F.col("key").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("s").alias("b")), "v")
+    return components(pair.where(_jaccard("a", "b") >= similarity).select("u", "v")).select(F.col("node").alias("key"), "root")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, limit: int = 2048) -> DataFrame:
     """One row per row of ``df``: the id, ``fingerprint`` (16 hex digits) and ``component_id``.
 
