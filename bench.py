@@ -11,13 +11,17 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import queries
+from tidemark.operators.downsample import downsample
 from tidemark.operators.sketches import ExactTier, KllTier
 from tidemark.plans.planner import Engine
+from tidemark.sources.observations import from_events
 from tidemark.sources.store import MemoryStore
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-RUNS = int(os.environ.get("BENCH_RUNS", "1"))
+RUNS = int(os.environ.get("BENCH_RUNS", "5"))
+#: Seconds after which each query still gets its warm-up and one timed run, but no more.
+SECONDS = float(os.environ.get("BENCH_SECONDS", "420"))
 NAMES = (
     "quantile_median", "group_hours", "coalesce_all", "combine_two", "combine_five", "windowize_10s", "downsample_tiers", "statsd_parse",
     "search_infix", "circuit_widening", "rank_error", "latency_match", "encoded_size", "weighted_quantile", "kll_merge",
@@ -51,10 +55,15 @@ def main() -> None:
         e = shapes(spark, tier)
         e.store.windows().count()
         runs |= {f"{n}_{tier.name}": (lambda q=q, e=e: e.query(q)) for n, (q, _) in SHAPES.items()}
-    took = {}
+    runs |= {
+        "windowize_10s_kll": lambda: KllTier().windowize(from_events(spark, SF), 10),
+        "downsample_tiers_kll": lambda: downsample(KllTier(), KllTier().windowize(from_events(spark, SF), 10), 1706659200),
+    }
+    took, started = {}, time.perf_counter()
     for name, make in runs.items():
         times = []
-        for _ in range(RUNS + 1):
+        # one warm-up, then the timed runs
+        while len(times) <= RUNS and (len(times) < 2 or time.perf_counter() - started < SECONDS):
             begun = time.perf_counter()
             make().write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - begun)
