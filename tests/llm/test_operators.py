@@ -190,12 +190,17 @@ def test_fingerprint_links(spark, limit):
     assert [roots.get(i, i) for i in range(len(fps))] == brute_components(fps)
 
 
-def test_simhash(spark, sf, edges, docs):
+def test_simhash(spark, sf, edges, docs, monkeypatch):
     ids = sorted(docs)
     fps = [slow_simhash(docs[i]) for i in ids]
     roots = brute_components(fps)
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.op4_simhash(spark, sf).collect()}
     assert got == {i: (f"{f:016x}", ids[r]) for i, f, r in zip(ids, fps, roots)}
+    # a row without an id ties those beside it, which are too far apart themselves
+    monkeypatch.setattr(simhash, "fingerprint", lambda text, width=3: text.cast("long"))
+    chain = spark.createDataFrame([(1, "0"), (None, "7"), (2, "63"), (None, "9000000000")], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in simhash.near_duplicates(chain).collect()} == {(1, 1), (None, 1), (2, 1), (None, None)}
+    monkeypatch.undo()
     rows = simhash.near_duplicates(edges).collect()
     assert sorted(((r.doc_id or 0), r.component_id) for r in rows) == [(0, 5), (1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (5, 5), (6, 5), (7, 7)]
     assert simhash.near_duplicates(edges.where("false")).count() == 0
@@ -429,3 +434,121 @@ def test_decontamination_of_evenly_edited_copies(spark, every):
         assert set(expected) == {i for i, _ in rows}
         got = decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
         assert {r.doc_id: r.score for r in got} == pytest.approx(expected)
+
+
+BLANKS = [f"a{' ' * 1_000_000}b", f"a b{chr(10) * 3_000_000} c", "x" * 1_000_000, f"{' ' * 3_000_000}é", " \n" * 30_000 + "y"]
+
+
+def test_long_blank_runs_and_words(spark, library):
+    """Runs on which a pattern's stack or an index over pairs might break encode as the library has them."""
+    import corpus_pipeline
+
+    ids = [library.encode(t, add_special_tokens=False).ids for t in BLANKS]
+    assert [np.frombuffer(x, "<u4").tolist() for x in token_ids.TokenIds(VOCAB).encode(BLANKS)] == ids
+    mixed = "".join(random.Random(3).choice(["the", "ing", "你", "of"]) for _ in range(20_000))
+    counts = TokenCounter(VOCAB)
+    assert counts.count([*BLANKS, mixed, mixed]) == [*map(len, ids), *[len(library.encode(mixed, add_special_tokens=False).ids)] * 2]
+    assert not any(len(c) > 32 for c in (*counts.head, *counts.tail))
+    rows = spark.createDataFrame(list(enumerate(BLANKS)), "doc_id long, text string")
+    check_packing(corpus_pipeline.packed(spark, rows, "").collect(), dict(enumerate(BLANKS)), library, 1024)
+    written = token_matrices.write_matrices(rows, VOCAB, shared.new_path(spark, "test")).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id: r.n for r in written} == {i: len(x) + 1 for i, x in enumerate(ids)}
+
+
+def test_matrices_have_one_kind_of_ids(spark):
+    folder = shared.new_path(spark, "test")
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string").repartition(2)
+    shards = {r.shard for r in token_matrices.write_matrices(rows, VOCAB, folder).collect()}
+    assert {token_matrices.read_shard(f"{folder}/{x}")["ids"].dtype for x in shards} == {np.dtype(np.uint16)}
+    shards = {r.shard for r in token_matrices.write_matrices(rows, VOCAB, folder, end=70_000).collect()}
+    assert {token_matrices.read_shard(f"{folder}/{x}")["ids"].dtype for x in shards} == {np.dtype(np.uint32)}
+
+
+def found_neighbours(df, k=20):
+    out = defaultdict(list)
+    for r in multi_index.search(df, F.col("vec_id") % 20 == 0, k=k).orderBy("rank").collect():
+        out[r.query_id].append(r.vec_id)
+    return out
+
+
+def test_neighbours_beside_repeats(spark):
+    """One row many times, and one id on many vectors: every query still gets all its neighbours."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(401, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    schema = "vec_id long, embedding array<double>"
+    got = found_neighbours(spark.createDataFrame(rows + [rows[40]] * 3000, schema))
+    recall = []
+    for q in range(0, 401, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        recall.append(len(set(np.argsort(-s)[:20].tolist()) & set(got[q])) / 20)
+        assert len(got[q]) == len(set(got[q])) == 20
+    assert len(got) == 21 and np.mean(recall) >= 0.9
+    near = [(7, (x[0] + rng.normal(size=16) * 0.01).tolist()) for _ in range(2000)]
+    got = found_neighbours(spark.createDataFrame(rows + near, schema))
+    assert all(len(v) == len(set(v)) == 20 for v in got.values()) and got[0][0] == 7
+    # lengths are worlds of their own
+    both = found_neighbours(spark.createDataFrame([(0, [1.0]), (1, [2.0]), (20, [1.0, 1.0]), (21, [0.0, 1.0]), (22, [1.0])], schema))
+    assert both == {0: [1, 22], 20: [21]}
+
+
+def test_short_items_and_unspaced_scripts(spark):
+    bench = spark.createDataFrame([(1, "Paris"), (2, "new york city"), (3, "new york city"), (4, "今天天气很好我们去公园玩吧"), (5, "big apple pie now")], "item_id long, text string")
+    texts = {1: "to paris or not", 2: "in New York; City of many", 3: "york city new", 4: "他说：今天天气很好我们去公园玩吧！好的", 5: "big apple pie", 6: "paris new york city paris", 7: "今天天很好我们去公园玩吧"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.score, r.first_word, r.last_word, r.item_words) for r in decontamination.contaminated(docs, bench).collect()}
+    assert {k for k in got if k[1] != 4} == {(1, 1), (2, 2), (2, 3), (6, 1), (6, 2), (6, 3)}
+    assert got[2, 2] == (1.0, 1, 3, 3) and got[6, 1] == (1.0, 0, 0, 1)
+    assert {k[0] for k in got if k[1] == 4} == {4, 7} and got[4, 4][0] == 1.0 and 0.8 < got[7, 4][0] < 1
+
+
+def test_rules_of_repeats_against_plain_python(spark):
+    """All matches of all rules, sorted, and those within an earlier one of at least their priority left out."""
+    phrases = ["Licensed under the Apache License, Version 2.0", "MIT License", "GPLv3 or MPL2.0", "see the license for details", "nothing here", "SPDX-License-Identifier: BSD-3-Clause"]
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(phrases) for _ in range(n)) for n in (0, 1, 2, 9, 30, 400)]
+    compiled = [(label, priority, re.compile(rx.replace("[-[", "[-").replace("]+]", "]"), re.A)) for label, priority, _, rx in license_rules.rules()]
+    found = {r.doc_id: [(d.start, d.end, d.priority, d.label) for d in r.detections] for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        spans = sorted((m.start(), -m.end(), -p, label) for label, p, rx in compiled for m in rx.finditer(text.lower()))
+        expected = []
+        reach = {p: 0 for p in range(1, 5)}
+        for start, end, priority, label in spans:
+            if reach[-priority] < -end:
+                expected.append((start, -end, -priority, label))
+            for p in range(1, -priority + 1):
+                reach[p] = max(reach[p], -end)
+        assert found[i] == expected
+
+
+def test_similar_texts(spark):
+    """Against five-word Jaccard of all pairs: what is linked is similar, and nearly all that is similar is linked."""
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(3000)]
+    texts = []
+    for _ in range(40):
+        base = [rng.choice(words) for _ in range(200)]
+        for edits in (0, 1, 2, 3, 12):
+            copy = list(base)
+            for _ in range(edits):
+                copy[rng.randrange(200)] = rng.choice(words)
+            texts.append(" ".join(copy))
+    texts += ["", " ", "a b", "a  b", "a c"]
+    for limit in (2048, 16):
+        roots = {r.key: r.root for r in simhash.similar_texts(spark.createDataFrame(list(enumerate(texts)), "k long, text string"), "k", limit=limit).collect()}
+        sets = [set(simhash.shingle_set(t.encode()).tolist()) for t in texts]
+        parent = list(range(len(texts)))
+
+        def find(x, parent=parent):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        pairs = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+        for i, j in pairs:
+            parent[max(find(i), find(j))] = min(find(i), find(j))
+        together = [roots.get(i, i) == roots.get(j, j) for i, j in pairs]
+        assert np.mean(together) > 0.9
+        assert all(find(i) == find(r) for i, r in roots.items())
+        assert roots.get(201, 201) == 200 and roots.get(203, 203) == 202 and 204 not in roots
