@@ -11,7 +11,7 @@ into four segments, so up to seven bits may differ; five-word Jaccard similarity
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -76,10 +76,67 @@ def fingerprint(text: Column, width: int = 3) -> Column:
     return of(F.coalesce(text, F.lit("")))
 
 
-def _pairs(group: np.ndarray, fp: np.ndarray, slot: np.ndarray, cut: Cut = HALVES) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of linked pairs within runs of equal ``group``. A pair whose segment agrees wholly counts in its first slot only."""
-    left, right, lag = [], [], 1
-    mask = np.uint64((1 << cut.width) - 1)
+class _Nearest:
+    """Of pairs of rows, each row with the nearest row of smaller fingerprint. Holds one number of each kind per row, however many pairs come."""
+
+    def __init__(self, fp: np.ndarray, node: np.ndarray):
+        self.fp, self.node = fp, node
+        self.far, self.low = np.full(len(fp), 65, np.uint8), np.zeros(len(fp), np.int64)
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Pairs of positions; no position stands twice in ``a`` or twice in ``b``."""
+        up = self.fp[a] > self.fp[b]
+        for high, low in ((a[up], b[up]), (b[~up], a[~up])):
+            far = np.bitwise_count(self.fp[high] ^ self.fp[low])
+            old = self.far[high]
+            better = (far < old) | ((far == old) & (self.fp[low] < self.fp[self.low[high]]))
+            self.far[high[better]], self.low[high[better]] = far[better], low[better]
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        high = np.flatnonzero(self.far < 65)
+        return self.node[high], self.node[self.low[high]]
+
+
+class _Forest:
+    """Of pairs of rows, star links (node, least node) with the same components. Pairs beyond ``most`` are folded as they come."""
+
+    def __init__(self, fp: np.ndarray, node: np.ndarray, most: int = 1 << 18):
+        self.node, self.most = node, most
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.held.append((self.node[a], self.node[b]))
+        self.size += len(a)
+        if self.size > self.most:
+            self.held = [self.links()]
+            # what is left doesn't count: there is at most one link of each node
+            self.size = 0
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.held:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        a, b = (np.concatenate(side) for side in zip(*self.held))
+        used, at = np.unique(np.r_[a, b], return_inverse=True)
+        a, b = at[: len(a)], at[len(a) :]
+        root = np.arange(len(used))
+        while True:
+            low = np.minimum(root[a], root[b])
+            new = root.copy()
+            np.minimum.at(new, root[a], low)
+            np.minimum.at(new, root[b], low)
+            while (new[new] != new).any():
+                new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        own = root != np.arange(len(used))
+        return used[own], used[root[own]]
+
+
+def _pairs(group: np.ndarray, fp: np.ndarray, slot: np.ndarray, cut: Cut, take: Callable[[np.ndarray, np.ndarray], None]) -> None:
+    """Give ``take`` the positions of linked pairs within runs of equal ``group``, a lag at a time. A pair whose segment agrees wholly counts in its first slot only."""
+    mask, lag = np.uint64((1 << cut.width) - 1), 1
     while lag < len(group):
         i = np.flatnonzero(group[lag:] == group[:-lag])
         if not len(i):
@@ -87,54 +144,23 @@ def _pairs(group: np.ndarray, fp: np.ndarray, slot: np.ndarray, cut: Cut = HALVE
         x = fp[i] ^ fp[i + lag]
         at = slot[i]
         near = (np.bitwise_count(x) <= cut.radius) & ((((x >> (at // cut.width * cut.width).astype(np.uint64)) & mask) != 0) | (at % cut.width == 0))
-        left.append(i[near])
-        right.append(i[near] + lag)
+        if near.any():
+            take(i[near], i[near] + lag)
         lag += 1
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _divided(fp: np.ndarray, slot: int, bits: list[int], limit: int, cut: Cut = HALVES) -> tuple[np.ndarray, np.ndarray]:
+def _divided(fp: np.ndarray, slot: int, bits: list[int], limit: int, cut: Cut, take: Callable[[np.ndarray, np.ndarray], None]) -> None:
     """Linked pairs of one group of any size: divided by each of radius + 1 pieces of ``bits``, one of which must agree."""
     if len(fp) <= limit or len(bits) < 2 * (cut.radius + 1):
-        return _pairs(np.zeros(len(fp), np.int64), fp, np.full(len(fp), slot), cut)
-    left, right = [], []
+        _pairs(np.zeros(len(fp), np.int64), fp, np.full(len(fp), slot), cut, take)
+        return
     for piece in np.array_split(np.array(bits, np.uint64), cut.radius + 1):
         mask = np.bitwise_or.reduce(np.uint64(1) << piece)
         order = np.argsort(fp & mask, kind="stable")
         cuts = np.flatnonzero(np.diff(fp[order] & mask)) + 1
         for own in np.split(order, cuts):
             if len(own) > 1:
-                a, b = _divided(fp[own], slot, [k for k in bits if not int(mask) >> k & 1], limit, cut)
-                left.append(own[a])
-                right.append(own[b])
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-def _nearest(a: np.ndarray, b: np.ndarray, fp: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the pairs (a, b) of positions, those of each node with the nearest of its neighbours of smaller fingerprint."""
-    high, low = np.where(fp[a] > fp[b], a, b), np.where(fp[a] > fp[b], b, a)
-    order = np.lexsort((fp[low], np.bitwise_count(fp[a] ^ fp[b]), high))
-    first = order[np.unique(high[order], return_index=True)[1]]
-    return node[high[first]], node[low[first]]
-
-
-def _forest(a: np.ndarray, b: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Star links (node, least node) that keep the components of the pairs (a, b) of positions into ``node``."""
-    used, at = np.unique(node[np.r_[a, b]], return_inverse=True)
-    a, b = at[: len(a)], at[len(a) :]
-    root = np.arange(len(used))
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        while (new[new] != new).any():
-            new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    own = root != np.arange(len(used))
-    return used[own], used[root[own]]
+                _divided(fp[own], slot, [k for k in bits if not int(mask) >> k & 1], limit, cut, lambda a, b, own=own: take(own[a], own[b]))
 
 
 _LINK = pa.schema([("hot", pa.bool_()), ("key", pa.int64()), ("fp", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
@@ -148,10 +174,12 @@ def _rows(hot: bool, key: np.ndarray, fp: np.ndarray, u: np.ndarray, v: np.ndarr
 def _links(limit: int, final: bool, cut: Cut, nearest: bool):
     """Links of rows sorted by (key, piece). Runs longer than ``limit`` go on as hot rows, or in the final pass are divided."""
 
-    def reduced(a: np.ndarray, b: np.ndarray, r: np.ndarray) -> pa.RecordBatch:
-        fp = np.ascontiguousarray(r[:, 1]).view(np.uint64)
-        u, v = _nearest(a, b, fp, r[:, 2]) if nearest else _forest(a, b, r[:, 2])
-        return _rows(False, u, u, u, v)
+    kind = _Nearest if nearest else _Forest
+
+    def linked(found: _Nearest | _Forest) -> Iterator[pa.RecordBatch]:
+        u, v = found.links()
+        if len(u):
+            yield _rows(False, u, u, u, v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -166,9 +194,10 @@ def _links(limit: int, final: bool, cut: Cut, nearest: bool):
             group = np.cumsum(new)
             if (~long).any():
                 r = rows[~long]
-                a, b = _pairs(group[~long], np.ascontiguousarray(r[:, 1]).view(np.uint64), r[:, 0] >> 32, cut)
-                if len(a):
-                    yield reduced(a, b, r)
+                fp = np.ascontiguousarray(r[:, 1]).view(np.uint64)
+                found = kind(fp, r[:, 2])
+                _pairs(group[~long], fp, r[:, 0] >> 32, cut, found.add)
+                yield from linked(found)
             if not long.any():
                 return
             if not final:
@@ -178,9 +207,10 @@ def _links(limit: int, final: bool, cut: Cut, nearest: bool):
             for g in np.unique(group[long]):
                 r = rows[group == g]
                 slot = int(r[0, 0] >> 32)
-                a, b = _divided(np.ascontiguousarray(r[:, 1]).view(np.uint64), slot, cut.others(slot), limit, cut)
-                if len(a):
-                    yield reduced(a, b, r)
+                fp = np.ascontiguousarray(r[:, 1]).view(np.uint64)
+                found = kind(fp, r[:, 2])
+                _divided(fp, slot, cut.others(slot), limit, cut, found.add)
+                yield from linked(found)
 
         for batch in batches:
             rows = np.column_stack([batch.column(k).to_numpy() for k in range(4)])
