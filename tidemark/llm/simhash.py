@@ -277,33 +277,33 @@ def _shingles(text: Column, width: int) -> Column:
 
 
 def _jaccard(left: str, right: str) -> Column:
-    @F.arrow_udf("double")
-    def of(left: pa.Array, right: pa.Array) -> pa.Array:
-        out = []
-        for a, b in zip(left, right):
-            x, y = (z.values.to_numpy() for z in (a, b))
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0)
-        return pa.array(out, pa.float64())
+    """Similarity of two arrays of distinct values; that of two empty ones is 1."""
+    both, all_ = F.size(F.array_intersect(left, right)), F.size(left) + F.size(right)
+    return F.when(all_ == 0, 1.0).otherwise(both / (all_ - both))
 
-    return of(left, right)
 
+def similar_texts(
+    df: DataFrame, key_col: str, text_col: str = "text", row_col: str | None = None, width: int = 5, similarity: float = 0.8, pairs: int = 2, cut: Cut = QUARTERS, limit: int = 2048
+) -> DataFrame:
+    """(key, root) of the keys of ``df`` whose component has a smaller key, keys being non-null longs, each of one text.
 
-def similar_texts(df: DataFrame, key_col: str, text_col: str = "text", width: int = 5, similarity: float = 0.8, pairs: int = 2, cut: Cut = QUARTERS, limit: int = 2048) -> DataFrame:
-    """(key, root) of the rows of ``df`` whose component has a smaller key, keys being a distinct, non-null long per row.
-
-    Fingerprints of ``pairs``-word shingles within ``cut.radius`` bits are candidates: each text with its nearest under
-    every variant, and texts of one fingerprint with the first of them. Those whose ``width``-word Jaccard similarity is at
-    least ``similarity`` are links. Texts without words are similar to each other only, and null is the empty text.
+    A key may stand on many rows: only the copy with the least ``row_col`` (a long that tells rows apart; without it the
+    key) is cut into shingles, and no text is moved to find the copies. Fingerprints of ``pairs``-word shingles within
+    ``cut.radius`` bits are candidates: each text with its nearest under every variant, and texts of one fingerprint with
+    the first of them. Those whose ``width``-word Jaccard similarity is at least ``similarity`` are links. Texts without
+    words are similar to each other only, and null is the empty text.
     """
     ship(df.sparkSession)
-    docs = materialize(df.select(F.col(key_col).alias("key"), fingerprint(F.col(text_col), pairs).alias("fp")), "fingerprints")
+    rows = df.select(F.col(key_col).alias("key"), F.col(row_col or key_col).alias("row"), F.col(text_col).alias("text"))
+    marked = rows.select("key", "row", fingerprint(F.col("text"), pairs).alias("fp"))
+    docs = materialize(marked.groupBy("key").agg(F.min("row").alias("row"), F.min("fp").alias("fp")), "fingerprints")
     reps = materialize(docs.groupBy("fp").agg(F.min("key").alias("rep")), "representatives")
     alike = docs.join(reps, "fp").where("key <> rep").select(F.col("key").alias("u"), F.col("rep").alias("v"))
     found = link_fingerprints(reps, limit, cut, nearest=True).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     candidates = materialize(found.unionByName(alike).distinct(), "candidates")
     nodes = candidates.select(F.col("u").alias("node")).unionByName(candidates.select(F.col("v").alias("node"))).distinct()
-    texts = df.select(F.col(key_col).alias("key"), F.col(text_col).alias("text")).join(nodes, F.col("key") == F.col("node"), "left_semi")
+    wanted = materialize(docs.join(nodes, F.col("key") == F.col("node"), "left_semi").select(F.col("row").alias("wanted")), "wanted")
+    texts = rows.join(wanted, F.col("row") == F.col("wanted"), "left_semi").dropDuplicates(["row"])
     sets = materialize(texts.select("key", _shingles(F.col("text"), width).alias("s")), "shingles")
     pair = candidates.join(sets.select(F.col("key").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("s").alias("b")), "v")
     return components(pair.where(_jaccard("a", "b") >= similarity).select("u", "v")).select(F.col("node").alias("key"), "root")
