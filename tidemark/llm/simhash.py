@@ -6,13 +6,15 @@ equality grouping; candidates are then verified on all 64 bits. Groups too large
 again by the other half's pieces, of which one must agree, so no link is lost and no group is collected whole.
 
 ``similar_texts`` puts the same index under shingle similarity: fingerprints of word pairs, which edits disturb less, cut
-into four segments, so up to seven bits may differ; five-word Jaccard similarity then decides on each candidate.
+into four segments, so up to seven bits may differ. One fingerprint is too noisy to meet most pairs at the similarity's
+edge, so each text has several independent ones, any of which may meet; five-word Jaccard similarity decides.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import materialize, settle, ship, table
+from tidemark.llm.shared import materialize, release, settle, ship, table
 
 @dataclass(frozen=True)
 class Cut:
@@ -50,30 +52,43 @@ class Cut:
 HALVES, QUARTERS = Cut(2), Cut(4)
 
 
-def simhash(text: bytes, width: int = 3) -> int:
-    """Fingerprint of a text: a bit is set if it is set in over half of the shingles' XXH64 (seed 42)."""
+def _hashes(text: bytes, width: int) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42) of a text's shingles, in arrays of bounded size; of fewer words that of the whole sequence."""
     words = text.lower().split()
-    n = len(words) - width + 1
-    if not words:
-        return 0
-    if n < 1:
-        return xxhash.xxh64_intdigest(b" ".join(words), 42)
-    ones = np.zeros(64, np.int64)
-    for a in range(0, n, 50_000):
+    width = min(width, len(words))
+    for a in range(0, len(words) - width + 1 if words else 0, 50_000):
         part = words[a : a + 50_000 + width - 1]
-        digest = b"".join(xxhash.xxh64_digest(s, 42) for s in map(b" ".join, zip(*(part[k:] for k in range(width)))))
-        ones += np.unpackbits(np.frombuffer(digest, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
+        yield np.frombuffer(b"".join(xxhash.xxh64_digest(s, 42) for s in map(b" ".join, zip(*(part[k:] for k in range(width))))), ">u8")
 
 
-def fingerprint(text: Column, width: int = 3) -> Column:
-    """The fingerprint as a signed long; null counts as the empty text, whose fingerprint is zero."""
+def lanes(text: bytes, width: int = 3, number: int = 1) -> list[int]:
+    """Fingerprints of a text, from the shingles' hashes and from these mixed anew: a bit is set if it is set in over half."""
+    ones, n = np.zeros((number, 64), np.int64), 0
+    for h in _hashes(text, width):
+        n += len(h)
+        for k in range(number):
+            ones[k] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+            h = h.astype(np.uint64)
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ (h >> np.uint64(29))).astype(">u8")
+    return [int.from_bytes(np.packbits(row * 2 > n).tobytes(), "big") for row in ones]
 
-    @F.arrow_udf("long")
+
+def simhash(text: bytes, width: int = 3) -> int:
+    """Fingerprint of a text: a bit is set if it is set in over half of the shingles' XXH64 (seed 42)."""
+    return lanes(text, width)[0]
+
+
+def fingerprints(text: Column, width: int = 3, number: int = 1) -> list[Column]:
+    """Fingerprints as signed longs; null counts as the empty text, whose fingerprints are zero."""
+
+    @F.arrow_udf("array<bigint>")
     def of(texts: pa.Array) -> pa.Array:
-        return pa.array(np.array([simhash(t, width) for t in texts.cast(pa.binary()).to_pylist()], np.uint64).view(np.int64))
+        found = np.array([lanes(t, width, number) for t in texts.cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
+        return pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * number, found.ravel())
 
-    return of(F.coalesce(text, F.lit("")))
+    found = of(F.coalesce(text, F.lit("")))
+    return [found[k] for k in range(number)]
 
 
 class _Nearest:
@@ -283,24 +298,32 @@ def _jaccard(left: str, right: str) -> Column:
 
 
 def similar_texts(
-    df: DataFrame, key_col: str, text_col: str = "text", row_col: str | None = None, width: int = 5, similarity: float = 0.8, pairs: int = 2, cut: Cut = QUARTERS, limit: int = 2048
+    df: DataFrame, key_col: str, text_col: str = "text", row_col: str | None = None, width: int = 5, similarity: float = 0.8, pairs: int = 2, cut: Cut = QUARTERS, limit: int = 2048, number: int = 3
 ) -> DataFrame:
     """(key, root) of the keys of ``df`` whose component has a smaller key, keys being non-null longs, each of one text.
 
     A key may stand on many rows: only the copy with the least ``row_col`` (a long that tells rows apart; without it the
-    key) is cut into shingles, and no text is moved to find the copies. Fingerprints of ``pairs``-word shingles within
-    ``cut.radius`` bits are candidates: each text with its nearest under every variant, and texts of one fingerprint with
-    the first of them. Those whose ``width``-word Jaccard similarity is at least ``similarity`` are links. Texts without
+    key) is cut into shingles, and no text is moved to find the copies. Texts of which one of ``number`` fingerprints of
+    ``pairs``-word shingles is within ``cut.radius`` bits are candidates: each text with its nearest under every variant,
+    and texts of one fingerprint with the first of them. The fingerprints are indexed one after another. Those whose ``width``-word Jaccard similarity is at least ``similarity`` are links. Texts without
     words are similar to each other only, and null is the empty text.
     """
     ship(df.sparkSession)
     rows = df.select(F.col(key_col).alias("key"), F.col(row_col or key_col).alias("row"), F.col(text_col).alias("text"))
-    marked = rows.select("key", "row", fingerprint(F.col("text"), pairs).alias("fp"))
-    docs = materialize(marked.groupBy("key").agg(F.min("row").alias("row"), F.min("fp").alias("fp")), "fingerprints")
-    reps = materialize(docs.groupBy("fp").agg(F.min("key").alias("rep")), "representatives")
-    alike = docs.join(reps, "fp").where("key <> rep").select(F.col("key").alias("u"), F.col("rep").alias("v"))
-    found = link_fingerprints(reps, limit, cut, nearest=True).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    candidates = materialize(found.unionByName(alike).distinct(), "candidates")
+    names = [f"fp{k}" for k in range(number)]
+    marked = rows.select("key", "row", *(f.alias(c) for f, c in zip(fingerprints(F.col("text"), pairs, number), names)))
+    docs = materialize(marked.groupBy("key").agg(F.min("row").alias("row"), *(F.min(c).alias(c) for c in names)), "fingerprints")
+
+    def met(name: str) -> DataFrame:
+        own = docs.select("key", F.col(name).alias("fp"))
+        reps = materialize(own.groupBy("fp").agg(F.min("key").alias("rep")), "representatives")
+        alike = own.join(reps, "fp").where("key <> rep").select(F.col("key").alias("u"), F.col("rep").alias("v"))
+        found = link_fingerprints(reps, limit, cut, nearest=True).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        return found.unionByName(alike).distinct()
+
+    each = [settle(lambda name=name: met(name), "met") for name in names]
+    candidates = materialize(reduce(DataFrame.unionByName, each).distinct(), "candidates")
+    release(*each)
     nodes = candidates.select(F.col("u").alias("node")).unionByName(candidates.select(F.col("v").alias("node"))).distinct()
     wanted = materialize(docs.join(nodes, F.col("key") == F.col("node"), "left_semi").select(F.col("row").alias("wanted")), "wanted")
     texts = rows.join(wanted, F.col("row") == F.col("wanted"), "left_semi").dropDuplicates(["row"])
@@ -317,7 +340,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if all its ids are null). Repeated rows stay; an id that stands on several texts doesn't tie them.
     Exact copies are one fingerprint, so a group of copies costs one row in the index however large it is.
     """
-    docs = materialize(df.select(F.col(id_col).cast("long").alias("id"), fingerprint(F.col(text_col), width).alias("fp")), "fingerprints")
+    docs = materialize(df.select(F.col(id_col).cast("long").alias("id"), fingerprints(F.col(text_col), width)[0].alias("fp")), "fingerprints")
     reps = materialize(docs.groupBy("fp").agg(F.min("id").alias("rep")), "representatives")
     roots = settle(lambda: components(link_fingerprints(reps.select("fp", F.col("fp").alias("rep")), limit)), "roots")
     linked = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
