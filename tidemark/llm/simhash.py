@@ -91,6 +91,11 @@ def fingerprints(text: Column, width: int = 3, number: int = 1) -> list[Column]:
     return [found[k] for k in range(number)]
 
 
+def fingerprint(text: Column, width: int = 3) -> Column:
+    """The first of ``fingerprints``."""
+    return fingerprints(text, width)[0]
+
+
 class _Nearest:
     """Of pairs of rows, each row with the nearest row of smaller fingerprint. Holds one number of each kind per row, however many pairs come."""
 
@@ -340,7 +345,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if all its ids are null). Repeated rows stay; an id that stands on several texts doesn't tie them.
     Exact copies are one fingerprint, so a group of copies costs one row in the index however large it is.
     """
-    docs = materialize(df.select(F.col(id_col).cast("long").alias("id"), fingerprints(F.col(text_col), width)[0].alias("fp")), "fingerprints")
+    docs = materialize(df.select(F.col(id_col).cast("long").alias("id"), fingerprint(F.col(text_col), width).alias("fp")), "fingerprints")
     reps = materialize(docs.groupBy("fp").agg(F.min("id").alias("rep")), "representatives")
     roots = settle(lambda: components(link_fingerprints(reps.select("fp", F.col("fp").alias("rep")), limit)), "roots")
     linked = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
