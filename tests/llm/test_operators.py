@@ -552,3 +552,39 @@ def test_similar_texts(spark):
         assert np.mean(together) > 0.9
         assert all(find(i) == find(r) for i, r in roots.items())
         assert roots.get(201, 201) == 200 and roots.get(203, 203) == 202 and 204 not in roots
+
+
+@pytest.mark.parametrize("limit", [2048, 3])
+def test_similar_texts_lose_no_link(spark, limit):
+    """All texts of which a fingerprint meets and that are similar are linked, also behind nearer ones that are not similar."""
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(3000)]
+
+    def edited(base, edits):
+        copy = list(base)
+        for _ in range(edits):
+            copy[rng.randrange(len(copy))] = rng.choice(words)
+        return copy
+
+    texts = []
+    # one pair of words in the majority gives all of them the same fingerprints, whatever follows
+    for _ in range(12):
+        tail = [rng.choice(words) for _ in range(100)]
+        texts += ["a " * 300 + " ".join(t) for t in (tail, edited(tail, 1))]
+    for _ in range(4):
+        base = [rng.choice(words) for _ in range(150)]
+        texts += [" ".join(edited(base, rng.choice((2, 4, 6)))) for _ in range(25)]
+    texts += ["", " ", "a b", "a  b", "a c"]
+    n = len(texts)
+    lanes = np.array([simhash.lanes(t.encode(), 2, 3) for t in texts], np.uint64)
+    sets = [set(simhash.shingle_set(t.encode()).tolist()) for t in texts]
+    assert (lanes[:24] == lanes[0]).all()
+    root = list(range(n))
+    for i in range(n):
+        for j in range(i):
+            if np.bitwise_count(lanes[i] ^ lanes[j]).min() <= 7 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert [root[k] for k in range(24)] == [k // 2 * 2 for k in range(24)]
+    found = {r.key: r.root for r in simhash.similar_texts(spark.createDataFrame(list(enumerate(texts)), "k long, text string"), "k", limit=limit).collect()}
+    assert [found.get(k, k) for k in range(n)] == root
