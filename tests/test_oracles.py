@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tidemark import oracles, queries
@@ -38,3 +39,24 @@ def test_equals_sql(spark, sf, db, name):
         return [(x is None, str(x)) for x in row]
 
     assert sorted((tuple(x[n] for n in names) for x in df.collect()), key=order) == sorted(r.fetchall(), key=order)
+
+
+@pytest.fixture(scope="module")
+def many(spark, tmp_path_factory):
+    """A folder of tables with so many distinct values in several files that sketches of them differ from run to run."""
+    d = str(tmp_path_factory.mktemp("many"))
+    rows = spark.range(0, 160_000, 1, 4).withColumn("at", F.pmod(F.xxhash64("id"), F.lit(10_000_000)) / 100)
+    ts = F.timestamp_seconds(1_704_067_200 + F.col("id") % 172_800).cast("timestamp_ntz")
+    kind = F.when(F.xxhash64("id", F.lit("kind")) % 2 == 0, "click").otherwise("view")
+    rows.select(F.col("id").alias("event_id"), ts.alias("ts"), F.col("id").alias("user_id"), kind.alias("event_type"), F.col("at").alias("value")).write.parquet(f"{d}/events.parquet")
+    return d
+
+
+@pytest.mark.parametrize("name", ["kll_combine"])
+def test_sketches_of_many_values_equal_sql(spark, many, name):
+    c = duckdb.connect()
+    for p in glob.glob(f"{many}/*.parquet"):
+        c.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}/*.parquet'")
+    r = c.execute(oracles.SQL[name])
+    got = queries.QUERIES[name](spark, many).select(*[d[0] for d in r.description]).collect()
+    assert sorted(tuple(x) for x in got) == sorted(r.fetchall())

@@ -15,13 +15,15 @@ from tidemark.operators.sketches import ExactTier, ranked
 
 
 def rank_error(values: DataFrame, probes: DataFrame, keys: list[str]) -> DataFrame:
-    """Probes (keys, phi, approx) with ``error``: how far the rank floor(n * phi) lies from the nearest rank of approx, over
-    n; 0 inside its ranks. Probes whose value does not occur are dropped."""
+    """Probes (keys, phi, approx, ...) with ``error``: how far the rank floor(n * phi) lies from the nearest rank of approx,
+    over n; 0 inside its ranks. Probes whose value does not occur are dropped. Their other columns stay, so that nothing
+    needs to read them again: probes that sketches gave could be others then."""
     rows = ranked(values.select(*keys, "value", F.lit(1).alias("weight")), keys).withColumnRenamed("value", "approx")
+    rows = rows.select(*keys, "approx", "first", "last", "n")
     n = F.col("n").cast("double")
     exact = F.floor(n * F.col("phi")).cast("long")
     error = F.when(exact <= F.col("first"), (F.col("first") - exact) / n).when(exact >= F.col("last"), (exact - F.col("last")) / n).otherwise(F.lit(0.0))
-    return probes.join(rows, [*keys, "approx"]).select(*keys, "phi", "approx", error.alias("error"))
+    return probes.join(rows, [*keys, "approx"]).select(*probes.columns, error.alias("error"))
 
 
 def stat_summary(samples: DataFrame, key: str, value: Column) -> DataFrame:
@@ -117,5 +119,4 @@ def error_summary(tier, values: DataFrame, phis: list[float]) -> DataFrame:
     """phi, approx, lower, upper and rank error of one sketch over all values."""
     rows = values.select(F.lit("all").alias("metric"), F.lit(0).cast("long").alias("ts"), "value")
     found = tier.quantiles(tier.open(tier.windowize(rows, 1)), phis).withColumn("metric", F.lit("all"))
-    errors = rank_error(rows.select("metric", "value"), found.select("metric", "phi", "approx"), ["metric"])
-    return found.join(errors.distinct(), ["metric", "phi", "approx"]).select("phi", "approx", "lower", "upper", "error")
+    return rank_error(rows.select("metric", "value"), found, ["metric"]).select("phi", "approx", "lower", "upper", "error")

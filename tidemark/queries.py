@@ -384,8 +384,8 @@ def _kll_windows(text: str, unit: int) -> Query:
         o = from_events(spark, sf_dir)
         values = o.where(F.col("metric").isin(*[m for m in (CLICK, VIEW) if f'"{m}"' in text])).select(div(F.col("ts"), unit).alias("unit"), "value")
         keyed = found.withColumn("unit", div(F.col("window_start"), unit))
-        errors = analysis.rank_error(values, keyed.select("unit", "phi", "approx"), ["unit"])
-        return keyed.join(errors, ["unit", "phi", "approx"]).select("window_start", "window_end", "phi", "count", (F.col("error") <= 0.02).alias("within"))
+        errors = analysis.rank_error(values, keyed, ["unit"])
+        return errors.select("window_start", "window_end", "phi", "count", (F.col("error") <= 0.02).alias("within"))
 
     return run
 
