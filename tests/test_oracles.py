@@ -52,7 +52,7 @@ def many(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["kll_combine"])
+@pytest.mark.parametrize("name", ["kll_combine", "kll_group"])
 def test_sketches_of_many_values_equal_sql(spark, many, name):
     c = duckdb.connect()
     for p in glob.glob(f"{many}/*.parquet"):
