@@ -49,14 +49,24 @@ def many(spark, tmp_path_factory):
     ts = F.timestamp_seconds(1_704_067_200 + F.col("id") % 172_800).cast("timestamp_ntz")
     kind = F.when(F.xxhash64("id", F.lit("kind")) % 2 == 0, "click").otherwise("view")
     rows.select(F.col("id").alias("event_id"), ts.alias("ts"), F.col("id").alias("user_id"), kind.alias("event_type"), F.col("at").alias("value")).write.parquet(f"{d}/events.parquet")
+    flag = F.element_at(F.array(*[F.lit(x) for x in "ANR"]), (F.pmod(F.xxhash64("id", F.lit("flag")), F.lit(3)) + 1).cast("int"))
+    day = F.timestamp_seconds(1_704_067_200 + F.pmod(F.xxhash64("id", F.lit("day")), F.lit(50 * 86_400))).cast("timestamp_ntz")
+    rows.select(flag.alias("l_returnflag"), day.alias("l_shipdate"), F.col("at").alias("l_extendedprice")).write.parquet(f"{d}/lineitem.parquet")
     return d
 
 
-@pytest.mark.parametrize("name", ["kll_combine", "kll_group"])
+@pytest.mark.parametrize("name", ["kll_combine", "kll_group", "kll_merge"])
 def test_sketches_of_many_values_equal_sql(spark, many, name):
     c = duckdb.connect()
     for p in glob.glob(f"{many}/*.parquet"):
         c.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}/*.parquet'")
     r = c.execute(oracles.SQL[name])
-    got = queries.QUERIES[name](spark, many).select(*[d[0] for d in r.description]).collect()
+    # as many parts as a large table has, so that merging them is left to chance
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = queries.QUERIES[name](spark, many).select(*[d[0] for d in r.description]).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert sorted(tuple(x) for x in got) == sorted(r.fetchall())

@@ -348,8 +348,8 @@ def format_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _kll_error(found: DataFrame, values: DataFrame) -> DataFrame:
-    errors = analysis.rank_error(values, found.select("metric", "phi", "approx"), ["metric"])
-    return found.join(errors, ["metric", "phi", "approx"]).select("metric", "phi", "count", (F.col("error") <= 0.02).alias("within"))
+    errors = analysis.rank_error(values, found, ["metric"])
+    return errors.select("metric", "phi", "count", (F.col("error") <= 0.02).alias("within"))
 
 
 def kll_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
