@@ -55,7 +55,7 @@ def many(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["kll_combine", "kll_group", "kll_merge"])
+@pytest.mark.parametrize("name", ["kll_combine", "kll_group", "kll_merge", "kll_quantile"])
 def test_sketches_of_many_values_equal_sql(spark, many, name):
     c = duckdb.connect()
     for p in glob.glob(f"{many}/*.parquet"):
