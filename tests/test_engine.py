@@ -14,7 +14,7 @@ from tidemark.operators.sketches import ExactTier, KllTier
 from tidemark.operators.windows import islands
 from tidemark.plans.planner import Engine
 from tidemark.plans.server import serve
-from tidemark.sources.observations import insert_specs, numbers, parse_lines, query_lines, synthetic
+from tidemark.sources.observations import insert_specs, numbers, parse_lines, query_lines, synthetic, tasks
 from tidemark.sources.store import DiskStore, MemoryStore
 from tidemark.sources.udp import UdpReader
 from tidemark.streaming.ingest import circuit, closed_windows, flush_into_store, flushed, flushes, into_store, windows
@@ -214,6 +214,27 @@ def test_statsd(spark, tmp_path):
     assert query_lines(spark, str(tmp_path / "s"))[0] == "3 foo"
 
 
+def test_synthetic_is_dealt_out(spark):
+    """Neither one name nor one window is made by one task; windows are whole."""
+    specs = spark.createDataFrame([("foo", 500_000), ("bar", 3), ("none", 0), ("null", None)], "name string, count long")
+    for rows, size in ((specs, 5), (specs.where("name = 'bar'"), 1_000_000)):
+        made = synthetic(spark, rows, 100, 30, size)
+        by = made.groupBy("metric", "ts").agg(F.count("*").alias("n"))
+        found = by.groupBy("metric").agg(F.count("*"), F.min("ts"), F.max("ts"), F.min("n"), F.max("n")).collect()
+        assert sorted(tuple(r) for r in found) == [("bar", 3, 100, 160, size, size), ("foo", 500_000, 100, 15_000_070, 5, 5)][: rows.count() // 3 + 1]
+        assert max(r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()) <= model.SPAN
+    assert tasks(specs, 5) == 3 and tasks(specs.where("count = 0"), 5) == 1
+    assert synthetic(spark, specs, 100, 30, 0).count() == 0
+
+
+def test_windowize_dealt_out_once(spark):
+    tier = ExactTier()
+    obs = spark.range(20_000).select(F.concat(F.lit("m"), F.col("id") % 3).alias("metric"), (F.col("id") % 700).alias("ts"), F.pmod(F.xxhash64("id"), F.lit(3 * model.SPAN)).alias("value"))
+    plain, dealt = (tier.windowize(obs, 10, tasks=n) for n in (None, 7))
+    assert sorted(dealt.collect()) == sorted(plain.collect())
+    assert dealt.columns == plain.columns and dealt.rdd.getNumPartitions() == 7
+
+
 def test_window_tracker_and_circuit(spark):
     ticks = spark.createDataFrame([("d", t) for t in (0, 29, 30, 31, 60)] + [("e", t) for t in (12, 30)], "daemon string, now long")
     assert sorted(tuple(r) for r in closed_windows(ticks, 30).collect()) == [("d", 30, 0, 30), ("d", 60, 30, 60), ("e", 30, 0, 30)]

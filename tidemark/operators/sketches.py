@@ -61,14 +61,20 @@ class ExactTier:
             raise ValueError(bounds)
         self.bounds = bounds
 
-    def windowize(self, obs: DataFrame, seconds: int, width: int | None = None) -> DataFrame:
-        """Stored windows of observations; values outside 32 unsigned bits are dropped. One row per window and span."""
-        one = _windows(obs, seconds, width).groupBy("metric", "window_start", "window_end", "value").agg(F.count("*").alias("weight"))
-        return self._pack(one)
+    def windowize(self, obs: DataFrame, seconds: int, width: int | None = None, tasks: int | None = None) -> DataFrame:
+        """Stored windows of observations; values outside 32 unsigned bits are dropped. One row per window and span.
+
+        ``tasks`` is for many small windows, in which few values repeat: these are dealt out once, to so many tasks.
+        """
+        rows, span = _windows(obs, seconds, width), div(F.col("value"), SPAN)
+        if tasks:
+            rows = rows.withColumn("span", span).repartition(tasks, "metric", "window_start", "span")
+        one = rows.groupBy(*rows.columns).agg(F.count("*").alias("weight"))
+        return self._pack(one if tasks else one.withColumn("span", span))
 
     def _pack(self, rows: DataFrame) -> DataFrame:
         hist = F.array_sort(F.collect_list(F.struct("value", "weight"))).cast(HIST)
-        packed = rows.groupBy("metric", "window_start", div(F.col("value"), SPAN).alias("span")).agg(
+        packed = rows.groupBy("metric", "window_start", "span").agg(
             F.max("window_end").alias("window_end"), F.sum("weight").alias("n"), F.min("value").alias("vmin"), F.max("value").alias("vmax"), hist.alias("hist")
         )
         return packed.drop("span")
@@ -77,7 +83,7 @@ class ExactTier:
         """One row per metric, window start and span: histograms added up, the later end kept."""
         rows = windows.select("metric", "window_start", "window_end", F.inline("hist"))
         one = rows.groupBy("metric", "window_start", "value").agg(F.max("window_end").alias("window_end"), F.sum("weight").alias("weight"))
-        return self._pack(one)
+        return self._pack(one.withColumn("span", div(F.col("value"), SPAN)))
 
     def totals(self, windows: DataFrame) -> DataFrame:
         """One row per stored window: metric, bounds, count, least and greatest value, number of distinct values kept."""

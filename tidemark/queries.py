@@ -20,7 +20,7 @@ from tidemark.operators.sketches import ExactTier, KllTier
 from tidemark.operators.windows import islands
 from tidemark.plans.planner import Engine
 from tidemark.sources.load import report
-from tidemark.sources.observations import from_events, from_lineitem, insert_specs, numbers, parse_lines, query_lines, synthetic
+from tidemark.sources.observations import from_events, from_lineitem, insert_specs, numbers, parse_lines, query_lines, synthetic, tasks
 from tidemark.sources.store import DiskStore, MemoryStore
 from tidemark.streaming.ingest import circuit, closed_windows, flush_into_store, flushed, into_store
 
@@ -204,7 +204,8 @@ def insert_spec_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def synthetic_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated windows: one for every event of a type, five values each."""
     specs = from_events(spark, sf_dir).groupBy(F.col("metric").alias("name")).agg(F.count("*").alias("count"))
-    made = ExactTier().windowize(synthetic(spark, specs, 1_000_000, 30, 5), 10)
+    n = tasks(specs, 5)
+    made = ExactTier().windowize(synthetic(spark, specs, 1_000_000, 30, 5, most=n), 10, tasks=n)
     return made.select("metric", "window_start", "window_end", "n", ((F.col("vmin") >= 0) & (F.col("vmax") < 10_000)).alias("bounded"))
 
 

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.names import NAME
-from tidemark.model import MAX_VALUE
+from tidemark.functions.time import div
+from tidemark.model import MAX_VALUE, SPAN
 
 #: Fixed value: a timer line; the sample rate is allowed and ignored.
 LINE = rf"\A({NAME}):([0-9]+)[|]ms([|]@[0-9]+[.][0-9]+)?\z"
+#: Values that are made from one row of a plan.
+_BLOCK = SPAN // 16
 
 
 def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -57,9 +60,17 @@ def query_lines(spark: SparkSession, path: str) -> list[str]:
     return [r["value"] for r in spark.read.text(path, wholetext=False).collect()]
 
 
-def synthetic(spark: SparkSession, specs: DataFrame, start: int, seconds: int, size: int, seed: int = 0) -> DataFrame:
+def tasks(specs: DataFrame, size: int) -> int:
+    """How many tasks make or sum up the synthetic values of (name, count), SPAN values each; the specs are read at once."""
+    return int(specs.where("count > 0").agg(F.ceil(F.sum(F.col("count").cast("long") * size) / SPAN)).first()[0] or 1)
+
+
+def synthetic(spark: SparkSession, specs: DataFrame, start: int, seconds: int, size: int, seed: int = 0, most: int | None = None) -> DataFrame:
     """Observations for (name, count): the i-th window of a name begins at start + i * seconds and has ``size`` uniform
-    values below 10000."""
-    windows = specs.where("count > 0").select("name", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("i"))
-    rows = windows.select("name", "i", F.explode(F.sequence(F.lit(1), F.lit(size))).alias("k"))
-    return rows.select(F.col("name").alias("metric"), (F.lit(start) + F.col("i") * seconds).alias("ts"), F.floor(F.rand(seed) * 10_000).cast("long").alias("value"))
+    values below 10000. Values are made in blocks, which are dealt out to ``most`` tasks (default: ``tasks``), so that
+    neither a name nor a window is made in one."""
+    sizes = specs.select("name", (F.col("count").cast("long") * size).alias("total")).where("total > 0")
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1, F.lit(_BLOCK).cast("long")))
+    blocks = sizes.select("name", "total", first.alias("first")).repartition(most or tasks(specs, size))
+    rows = blocks.select("name", F.explode(F.sequence("first", F.least(F.col("first") + _BLOCK, F.col("total")) - 1)).alias("k"))
+    return rows.select(F.col("name").alias("metric"), (F.lit(start) + div(F.col("k"), size) * seconds).alias("ts"), F.floor(F.rand(seed) * 10_000).cast("long").alias("value"))
